@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from sediment.llm.linedup import OP9_SQL, op9_line_dedup
 from sediment.llm.neardup import op4_near_duplicates
 
 QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
+    "op9_line_dedup": op9_line_dedup,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op9_line_dedup": OP9_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
