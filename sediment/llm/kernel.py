@@ -48,8 +48,11 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def hash_words(buf: np.ndarray, breaks: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hashes, starts, ends) of the words in buf; breaks: where texts begin, so that no word spans two."""
+def hash_words(buf: np.ndarray, breaks: np.ndarray, cls: np.ndarray, cut: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, starts, ends) of the words in buf; breaks: where texts begin, so that no word spans two.
+
+    With cut, the hashes are those of the words' first `cut` bytes.
+    """
     n = len(buf)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -66,6 +69,8 @@ def hash_words(buf: np.ndarray, breaks: np.ndarray, cls: np.ndarray) -> tuple[np
     power, inverse = _power_tables(n)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(_VALUES[buf] * power, out=sums[1:])
+    if cut:
+        ends = np.minimum(ends, starts + cut)
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
@@ -93,19 +98,19 @@ def _string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def text_words(column: pa.Array, cls: np.ndarray, at_most: int = CHUNK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def text_words(column: pa.Array, cls: np.ndarray, at_most: int = CHUNK, cut: int = 0) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Groups of whole texts as (first row, word hashes, offsets of each text's words).
 
     A group holds texts of at_most bytes in all, or one longer text, which is hashed piece by piece.
     """
-    for first, h, off, _, _ in text_spans(column, cls, at_most):
+    for first, h, off, _, _ in text_spans(column, cls, at_most, cut):
         yield first, h, off
 
 
 def text_spans(
-    column: pa.Array, cls: np.ndarray, at_most: int = CHUNK
+    column: pa.Array, cls: np.ndarray, at_most: int = CHUNK, cut: int = 0
 ) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """text_words, with each word's start and end among the bytes of its group."""
+    """text_words, with each word's start and end among the bytes of its group (of its prefix, with cut)."""
     data, off = _string_parts(column)
     n, row = len(off) - 1, 0
     while row < n:
@@ -114,15 +119,15 @@ def text_spans(
         lo, hi = int(off[row]), int(off[end])
         buf, starts_at = data[lo:hi], off[row:end] - lo
         if hi - lo <= at_most:
-            h, starts, ends = hash_words(buf, starts_at, cls)
+            h, starts, ends = hash_words(buf, starts_at, cls, cut)
         else:
-            h, starts, ends = _long_text(buf, cls, at_most)
+            h, starts, ends = _long_text(buf, cls, at_most, cut)
         counts = np.searchsorted(starts, np.append(starts_at, hi - lo), side="left")
         yield row, h, counts, starts, ends
         row = end
 
 
-def _long_text(buf: np.ndarray, cls: np.ndarray, at_most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _long_text(buf: np.ndarray, cls: np.ndarray, at_most: int, cut: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """hash_words of one long text, cut at separators into pieces of about at_most bytes."""
     parts, lo, n = [], 0, len(buf)
     while lo < n:
@@ -130,7 +135,7 @@ def _long_text(buf: np.ndarray, cls: np.ndarray, at_most: int) -> tuple[np.ndarr
         while hi < n and cls[buf[hi]]:  # a word ends first, however long it is
             stop = np.flatnonzero(~cls[buf[hi : hi + 4096]])
             hi = hi + int(stop[0]) if len(stop) else min(n, hi + 4096)
-        h, s, e = hash_words(buf[lo:hi], np.zeros(1, np.int64), cls)
+        h, s, e = hash_words(buf[lo:hi], np.zeros(1, np.int64), cls, cut)
         parts.append((h, s + lo, e + lo))
         lo = hi
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))

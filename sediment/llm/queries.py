@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from sediment.llm.linedup import OP9_SQL, op9_line_dedup
 from sediment.llm.neardup import op4_near_duplicates
+from sediment.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op9_line_dedup": op9_line_dedup,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op9_line_dedup": OP9_SQL,
