@@ -59,8 +59,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.base, self.n = spark, scratch_dir(spark), 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, *, narrow: bool = False) -> DataFrame:
+        """df as a written table. narrow: of short rows, for which two tasks a core are enough after any shuffle."""
         self.n += 1
+        if narrow:
+            df = df.coalesce(2 * self.spark.sparkContext.defaultParallelism)
         path = f"{self.base}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
@@ -115,18 +118,18 @@ def components(scratch: Scratch, edges: DataFrame, rounds: int = 40) -> DataFram
     Self-loops keep isolated nodes. A hub's edges are aggregated before they shuffle, and the joins
     back to a hub are plain equi-joins, which adaptive execution can split.
     """
-    now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), narrow=True)
     before = None
     for _ in range(rounds):
         # large star: every larger neighbour of u points at the smallest of u and its neighbours
         both = now.union(now.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), narrow=True)
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.save(large.union(now.where("u = v")).distinct())
+        large = scratch.save(large.union(now.where("u = v")).distinct(), narrow=True)
         # small star: every smaller neighbour of u, and u itself, points at the smallest of them
-        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")))
+        low2 = scratch.save(large.groupBy("u").agg(F.min("v").alias("m")), narrow=True)
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2.select("u", F.col("m").alias("v")))
-        after = scratch.save(small.distinct())
+        after = scratch.save(small.distinct(), narrow=True)
         mark = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(now, low, large, low2)
         now = after

@@ -253,14 +253,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85)
     sets = ["n_shingles", "f1", "f2"]
     reps = s.save(some.groupBy(*sets).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("path").alias("path"), F.count("*").alias("copies")))
 
-    edges = s.save(_candidates(s, reps.where("doc_id is not null")))
-    clusters = s.save(components(s, edges))
+    edges = s.save(_candidates(s, reps.where("doc_id is not null")), narrow=True)
+    clusters = s.save(components(s, edges), narrow=True)
     links = _links(s, docs, clusters, percent)
-    roots = s.save(links)
+    roots = s.save(links, narrow=True)
 
     # a class of copies takes its representative's component; classes of one unlinked row need no join
     moved = reps.join(roots, reps.doc_id == roots.node, "left").select(*sets, F.coalesce("root", "doc_id").alias("root")).where("root is not null")
-    moved = s.save(reps.where("copies > 1").select(*sets).union(reps.join(roots, reps.doc_id == roots.node, "left_semi").select(*sets)).distinct().join(moved, sets))
+    moved = s.save(reps.where("copies > 1").select(*sets).union(reps.join(roots, reps.doc_id == roots.node, "left_semi").select(*sets)).distinct().join(moved, sets), narrow=True)
     out = feats.select("doc_id", *sets).join(moved, sets, "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
@@ -272,8 +272,8 @@ def _candidates(s: Scratch, reps: DataFrame) -> DataFrame:
     leaves, last = [], f"k{DEPTH}"
     for d in range(1, DEPTH + 1):
         key = f"k{d}"
-        counts = s.save(now.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"))
-        met = s.save(now.join(counts, key).select(*_NODES, "n"))
+        counts = s.save(now.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), narrow=True)
+        met = s.save(now.join(counts, key).select(*_NODES, "n"), narrow=True)
         leaves.append(met.where(F.col("n") <= LEAF).select(F.col(key).alias("node"), "doc_id"))
         now = met.where(F.col("n") > LEAF).select(*_NODES)
         if now.isEmpty():
@@ -285,19 +285,19 @@ def _candidates(s: Scratch, reps: DataFrame) -> DataFrame:
     small = small.distinct().join(reps.select("doc_id", "sketch"), "doc_id").repartition("node").sortWithinPartitions("node")
     edges = small.mapInArrow(_leaf_edges, ddl(_EDGES)).distinct()
     if now is not None:
-        first = s.save(now.groupBy(last).agg(F.min("doc_id").alias("b")))
+        first = s.save(now.groupBy(last).agg(F.min("doc_id").alias("b")), narrow=True)
         edges = edges.union(now.join(first, last).select(F.col("doc_id").alias("a"), "b").distinct())
     return edges
 
 
 def _links(s: Scratch, docs: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
     """(node, root): the confirmed component of every document in a cluster."""
-    sizes = s.save(clusters.groupBy("root").agg(F.count("*").alias("size")))
-    member = s.save(clusters.join(sizes, "root").select(F.col("root").alias("cluster"), "size", F.col("node").alias("doc_id")))
+    sizes = s.save(clusters.groupBy("root").agg(F.count("*").alias("size")), narrow=True)
+    member = s.save(clusters.join(sizes, "root").select(F.col("root").alias("cluster"), "size", F.col("node").alias("doc_id")), narrow=True)
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     held = s.save(texts.join(member, "doc_id").mapInArrow(_sets, ddl(_SETS)).where("length(shingles) > 0"))
     whole = held.where(F.col("size") <= CLUSTER).repartition("cluster").sortWithinPartitions("cluster")
-    done = s.save(whole.mapInArrow(_confirm_clusters(percent), ddl(_EDGES)))
+    done = s.save(whole.mapInArrow(_confirm_clusters(percent), ddl(_EDGES)), narrow=True)
     large = held.where(F.col("size") > CLUSTER).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)))
     if large.isEmpty():
         return done.select(F.col("a").alias("node"), F.col("b").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
@@ -314,12 +314,12 @@ def _links(s: Scratch, docs: DataFrame, clusters: DataFrame, percent: int) -> Da
     led = leaders.join(label, ["cluster", "doc_id"]).join(blocks, "cluster").select("cluster", "block", F.lit(0).cast("bigint").alias("other"), F.lit(True).alias("near"), "label", "doc_id", "shingles")
     across = to_all.select(*rows).union(led.select(*rows)).repartition("cluster", "block").sortWithinPartitions("cluster", "block")
     edges = s.save(inner.select("a", "b").union(across.mapInArrow(_confirm_across(percent), ddl(_EDGES))))
-    parts = s.save(components(s, edges))
+    parts = s.save(components(s, edges), narrow=True)
 
     # what is outside a cluster's largest component meets every block of the cluster
     named = s.save(large.join(parts, large.doc_id == parts.node).select("cluster", "size", "block", "doc_id", F.col("root").alias("label"), "shingles"))
     counts = named.groupBy("cluster", "label").agg(F.countDistinct("doc_id").alias("n"))
-    giant = s.save(counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("cluster", F.col("top.label").alias("giant"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("n_rest")))
+    giant = s.save(counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("cluster", F.col("top.label").alias("giant"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("n_rest")), narrow=True)
     rest = named.join(giant.where("n_rest > 0"), "cluster")
     left = rest.where("label != giant").withColumn("other", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n_rest")))
     near = left.join(blocks, "cluster", "inner").select("cluster", blocks.block, "other", F.lit(True).alias("near"), "label", "doc_id", "shingles")
@@ -327,7 +327,7 @@ def _links(s: Scratch, docs: DataFrame, clusters: DataFrame, percent: int) -> Da
     met = near.select(*rows).union(far.select(*rows)).repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other")
     more = s.save(met.mapInArrow(_confirm_across(percent), ddl(_EDGES)))
     if not more.isEmpty():
-        parts = s.save(components(s, edges.union(more)))
+        parts = s.save(components(s, edges.union(more)), narrow=True)
     return done.select(F.col("a").alias("node"), F.col("b").alias("root")).groupBy("node").agg(F.min("root").alias("root")).union(parts)
 
 
