@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from sediment.llm.decontaminate import op3_decontaminate
 from sediment.llm.linedup import OP9_SQL, op9_line_dedup
 from sediment.llm.neardup import op4_near_duplicates
 from sediment.llm.toxicity import op10_toxicity
 
 QUERIES = {
+    "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
