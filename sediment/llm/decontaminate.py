@@ -134,9 +134,10 @@ class Index:
 
         among: the ascending items that a bound has left; pivots between them are passed over.
         """
-        at = np.searchsorted(self.terms, np.unique(passage))
-        at = at[at < len(self.terms)]
-        at = at[np.isin(self.terms[at], passage)]
+        words = np.unique(passage)
+        at = np.searchsorted(self.terms, words)
+        there = at < len(self.terms)
+        at = at[there][self.terms[at[there]] == words[there]]
         lists = [[int(self.posts[t][0]), 0, t] for t in at.tolist()]  # current item, its place, term
         found, goal = [], threshold - 1e-9
         while lists:
