@@ -18,6 +18,9 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 _VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]  # A-Z count as a-z
 
+#: The same for hashes that tell cases apart.
+_EXACT = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+
 #: `[^\x20\x09-\x0D]+`
 NON_SPACE = np.ones(256, dtype=bool)
 NON_SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -74,6 +77,21 @@ def hash_words(buf: np.ndarray, breaks: np.ndarray, cls: np.ndarray, cut: int =
     return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Case-sensitive hashes of given spans of buf, which holds CHUNK bytes or one longer text."""
+    power, inverse = _power_tables(len(buf))
+    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
+    np.cumsum(_EXACT[buf] * power, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * inverse[np.minimum(starts, max(len(buf) - 1, 0))] + (ends - starts).astype(np.uint64))
+
+
+def take_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The indices of all ranges [start, start + length), one after another."""
+    total = int(lengths.sum())
+    first = np.cumsum(lengths) - lengths
+    return np.repeat(starts - first, lengths) + np.arange(total)
+
+
 def word_hash(word: str, cls: np.ndarray = ALNUM) -> int:
     """The hash that hash_words gives the one word in this text."""
     h, _, _ = hash_words(np.frombuffer(word.encode(), np.uint8), np.zeros(1, np.int64), cls)
