@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 from sediment.llm.decontaminate import op3_decontaminate
+from sediment.llm.licenses import OP6_SQL, op6_license_scan
 from sediment.llm.linedup import OP9_SQL, op9_line_dedup
 from sediment.llm.neardup import op4_near_duplicates
+from sediment.llm.token_counts import op5_token_counts
 from sediment.llm.toxicity import op10_toxicity
+from sediment.llm.unigram import op1_sentencepiece
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
+    "op5_token_counts": op5_token_counts,
+    "op6_license_scan": op6_license_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op6_license_scan": OP6_SQL,
     "op9_line_dedup": OP9_SQL,
 }
