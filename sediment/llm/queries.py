@@ -7,6 +7,7 @@ from sediment.llm.licenses import OP6_SQL, op6_license_scan
 from sediment.llm.linedup import OP9_SQL, op9_line_dedup
 from sediment.llm.neardup import op4_near_duplicates
 from sediment.llm.token_counts import op5_token_counts
+from sediment.llm.topk import OP8_SQL, op8_topk
 from sediment.llm.toxicity import op10_toxicity
 from sediment.llm.unigram import op1_sentencepiece
 
@@ -16,10 +17,12 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
+    "op8_topk": op8_topk,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": OP6_SQL,
+    "op8_topk": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
 }
