@@ -10,6 +10,7 @@ from sediment.llm.token_counts import op5_token_counts
 from sediment.llm.topk import OP8_SQL, op8_topk
 from sediment.llm.toxicity import op10_toxicity
 from sediment.llm.unigram import op1_sentencepiece
+from sediment.llm.wrappers import op7_html_text
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_near_duplicates": op4_near_duplicates,
     "op5_token_counts": op5_token_counts,
     "op6_license_scan": op6_license_scan,
+    "op7_html_text": op7_html_text,
     "op8_topk": op8_topk,
     "op9_line_dedup": op9_line_dedup,
     "op10_toxicity": op10_toxicity,
