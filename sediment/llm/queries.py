@@ -6,6 +6,7 @@ from sediment.llm.decontaminate import op3_decontaminate
 from sediment.llm.licenses import OP6_SQL, op6_license_scan
 from sediment.llm.linedup import OP9_SQL, op9_line_dedup
 from sediment.llm.neardup import op4_near_duplicates
+from sediment.llm.quality import op2_quality
 from sediment.llm.token_counts import op5_token_counts
 from sediment.llm.topk import OP8_SQL, op8_topk
 from sediment.llm.toxicity import op10_toxicity
@@ -14,6 +15,7 @@ from sediment.llm.wrappers import op7_html_text
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_quality": op2_quality,
     "op3_decontaminate": op3_decontaminate,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_token_counts": op5_token_counts,
