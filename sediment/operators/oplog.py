@@ -9,9 +9,14 @@ PUT, TOMBSTONE = "PUT", "TOMBSTONE"
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical log of the events table: an error deletes its user's key, any other event puts it."""
+    """The canonical log of the events table."""
+    return as_log(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_log(events: DataFrame) -> DataFrame:
+    """Events as operations: an error deletes its user's key, any other event puts it."""
     gone = F.col("event_type") == "error"
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    return events.select(
         (F.col("event_id") + 1).alias("seq"),
         F.concat(F.lit("user:"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("key"),
         F.when(gone, TOMBSTONE).otherwise(PUT).alias("op"),
