@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import shutil
 import tempfile
@@ -57,7 +58,7 @@ class Scratch:
     """Intermediate tables of one operator run, written to the shared folder so that lost executors lose nothing."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.n = spark, scratch_dir(spark), 0
+        self.spark, self.base, self.n, self.tables = spark, scratch_dir(spark), 0, []
 
     def save(self, df: DataFrame, *, narrow: bool = False) -> DataFrame:
         """df as a written table. narrow: of short rows, for which two tasks a core are enough after any shuffle."""
@@ -68,6 +69,7 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._sediment_path = path
+        self.tables.append(out)
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -76,6 +78,13 @@ class Scratch:
             jvm = self.spark.sparkContext._jvm
             path = jvm.org.apache.hadoop.fs.Path(t._sediment_path)
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.tables = [x for x in self.tables if x is not t]
+
+    def sweep(self, *keep: DataFrame) -> None:
+        """Delete all tables but these, and let Spark remove the shuffle files that made them."""
+        self.drop(*[t for t in self.tables if all(t is not k for k in keep)])
+        gc.collect()  # frames that Python holds keep their shuffles
+        self.spark.sparkContext._jvm.System.gc()
 
 
 def batch(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:

@@ -24,6 +24,8 @@ from sediment.llm.frames import Scratch, batch, ddl, groups, prepare, read
 K, SCALE, EVERY = 5, 256.0, 50
 #: Vectors in a block of candidates and of queries.
 BLOCK, QUERIES = 2048, 256
+#: Packed blocks in an Arrow batch, and tasks that sum the tasks' matrices.
+BATCH_BLOCKS, SUMS = 16, 4
 #: Rotated coordinates that the partial sums take.
 HEAD = 16
 #: Below this product of lengths an inner product of integers is exact in double precision.
@@ -43,6 +45,16 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["dim", "gram"])
 
 
+def _sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of the matrices of a task, for each number of components."""
+    sums: dict[int, np.ndarray] = {}
+    for b in batches:
+        for dim, gram in zip(b.column("dim").to_pylist(), b.column("gram").to_pylist(), strict=True):
+            sums[dim] = sums.get(dim, 0) + np.frombuffer(gram, np.float64)
+    for dim, s in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["dim", "gram"])
+
+
 def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(components, rows, integer matrix) of a batch of (dim, v) rows."""
     dims = b.column("dim").to_numpy()
@@ -102,27 +114,39 @@ _FOUND = {"dim": pa.int64(), "q_part": pa.int64(), "q_row": pa.int64(), "query_i
 
 
 def _score(rotations, k: int, first: bool):
-    """Scores pairs of blocks: those of one query block and stripe in a row, longest candidates first."""
+    """Scores pairs of blocks: those of one query block and stripe in a row, longest candidates first.
+
+    Rows are taken as they come, so a task holds one query block and one Arrow batch of candidate blocks.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = rotations.value
-        for g in groups(batches, "dim", "q_part", "stripe"):
-            dim, q_part = g.column("dim")[0].as_py(), g.column("q_part")[0].as_py()
-            q = _Block(dim, g.column("q_ids")[0].as_py(), g.column("q_ints")[0].as_py(), turn[dim])
-            floor = np.full(len(q.ids), -np.inf)
-            if not first and (f := g.column("floors")[0].as_py()) is not None:
-                floor = np.frombuffer(f, np.float64).copy()
-            held: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q.ids)
-            for ids, ints in zip(g.column("ids"), g.column("ints"), strict=True):
-                c = _Block(dim, ids.as_py(), ints.as_py(), turn[dim])
+        turn, now, q, floor, held = rotations.value, None, None, None, []
+
+        def found() -> pa.RecordBatch:
+            n = [len(h[0]) for h in held]
+            return batch(_FOUND, dim=[now[0]] * sum(n), q_part=[now[1]] * sum(n), q_row=np.repeat(np.arange(len(n)), n), query_id=np.repeat(q.ids, n), vec_id=np.concatenate([h[0] for h in held]), score=np.concatenate([h[1] for h in held]))
+
+        for b in batches:
+            keys = list(zip(*(b.column(c).to_pylist() for c in ("dim", "q_part", "stripe")), strict=True))
+            for row, key in enumerate(keys):
+                if key != now:
+                    if now:
+                        yield found()
+                    now = key
+                    q = _Block(key[0], b.column("q_ids")[row].as_py(), b.column("q_ints")[row].as_py(), turn[key[0]])
+                    floor = np.full(len(q.ids), -np.inf)
+                    if not first and (f := b.column("floors")[row].as_py()) is not None:
+                        floor = np.frombuffer(f, np.float64).copy()
+                    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q.ids)
+                c = _Block(key[0], b.column("ids")[row].as_py(), b.column("ints")[row].as_py(), turn[key[0]])
                 for i, got, score in _meet(q, c, floor, k):
                     got, score = np.concatenate([held[i][0], got]), np.concatenate([held[i][1], score])
                     top = _best(score, got, k)
                     held[i] = (got[top], score[top])
                     if len(top) == k:
                         floor[i] = max(floor[i], float(score[top[-1]]))
-            n = [len(h[0]) for h in held]
-            yield batch(_FOUND, dim=[dim] * sum(n), q_part=[q_part] * sum(n), q_row=np.repeat(np.arange(len(n)), n), query_id=np.repeat(q.ids, n), vec_id=np.concatenate([h[0] for h in held]), score=np.concatenate([h[1] for h in held]))
+        if now:
+            yield found()
 
     return run
 
@@ -162,9 +186,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, *, k: int = K, every: int = E
     prepare(spark)
     s = Scratch(spark)
     rows = s.save(integers(vectors))
-    grams = rows.select("dim", "v").mapInArrow(_gram, "dim bigint, gram binary").toLocalIterator()  # one small matrix a task
+    grams = rows.select("dim", "v").mapInArrow(_gram, "dim bigint, gram binary").repartition(SUMS)
     sums: dict[int, np.ndarray] = {}
-    for r in grams:
+    for r in grams.mapInArrow(_sum_grams, "dim bigint, gram binary").collect():  # SUMS small matrices for each length
         sums[r.dim] = sums.get(r.dim, 0) + np.frombuffer(r.gram, np.float64).reshape(r.dim, r.dim)
     rotations = spark.sparkContext.broadcast({d: np.linalg.eigh(g)[1][:, ::-1].copy() for d, g in sums.items()})
 
@@ -175,6 +199,7 @@ def top_k(spark: SparkSession, vectors: DataFrame, *, k: int = K, every: int = E
     queries = _blocks(asked, QUERIES, 1 + n // every // (4 * QUERIES))
     queries = s.save(queries.select("dim", F.xxhash64("ids").alias("q_part"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints")))
 
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_BLOCKS))
     keys = ["dim", "q_part", "stripe"]
     longest = cand.groupBy("dim").agg(F.max(F.struct("top", "block")).alias("x")).select("dim", F.col("x.block").alias("block"))
     seeds = cand.join(longest, ["dim", "block"]).join(queries, "dim").withColumn("stripe", F.lit(0).cast("bigint"))
@@ -188,7 +213,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, *, k: int = K, every: int = E
     striped = cand.withColumn("stripe", F.pmod("block", F.lit(stripes).cast("bigint")))
     asked = queries.join(floors, ["dim", "q_part"], "left").withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(stripes - 1).cast("bigint"))))
     pairs = striped.join(asked, ["dim", "stripe"]).repartition(*keys).sortWithinPartitions(*keys, F.desc("top"))
-    found = pairs.mapInArrow(_score(rotations, k, False), ddl(_FOUND))
+    found = s.save(pairs.mapInArrow(_score(rotations, k, False), ddl(_FOUND)))
+    prepare(spark)
+    s.sweep(found)
     rank = Window.partitionBy("dim", "q_part", "q_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
