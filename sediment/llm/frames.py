@@ -120,16 +120,16 @@ def groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordB
         yield held[0] if len(held) == 1 else pa.concat_batches(held)
 
 
-def components(scratch: Scratch, edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame) -> DataFrame:
     """(node, root) for every node of undirected edges (a, b): root is the smallest node of its component.
 
-    Alternates large-star and small-star steps; each round is written, so a lost executor costs one round.
+    Alternates large-star and small-star steps until nothing changes; each round is written, so a lost executor costs one round.
     Self-loops keep isolated nodes. A hub's edges are aggregated before they shuffle, and the joins
     back to a hub are plain equi-joins, which adaptive execution can split.
     """
     now = scratch.save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), narrow=True)
     before = None
-    for _ in range(rounds):
+    while True:
         # large star: every larger neighbour of u points at the smallest of u and its neighbours
         both = now.union(now.where("u != v").select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = scratch.save(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), narrow=True)

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.frames import Scratch, batch, ddl, groups, prepare, read
+from sediment.llm.frames import Scratch, batch, ddl, prepare, read
 
 #: Tokens of the longest repeat that is folded, and items of the longest wrapper; a longer one is not aligned further.
 REPEAT, LONGEST = 24, 4000
@@ -283,14 +283,25 @@ _WRAPPED = {"host": pa.string(), "h": pa.int64(), "wrapper": pa.string()}
 
 
 def _align(column: str, *keys: str):
+    """One wrapper for each host and key, from rows sorted by the keys; holds one key's wrappers at a time."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, *keys):
-            # groups go by a hash of the host; hosts that share one stay apart
-            wrappers: dict[str, list] = {}
-            for host, shape in sorted(zip(g.column("host").to_pylist(), g.column(column).to_pylist(), strict=True)):
-                now = _load(shape)
-                wrappers[host] = align(wrappers[host], now) if host in wrappers else now
-            yield batch(_WRAPPED, host=list(wrappers), h=[g.column("h")[0].as_py()] * len(wrappers), wrapper=[json.dumps(w, separators=(",", ":")) for w in wrappers.values()])
+        now: tuple | None = None
+        wrappers: dict[str, list] = {}  # keys are hashes; hosts that share one stay apart
+
+        def done() -> pa.RecordBatch:
+            return batch(_WRAPPED, host=list(wrappers), h=[now[0]] * len(wrappers), wrapper=[json.dumps(w, separators=(",", ":")) for w in wrappers.values()])
+
+        for b in batches:
+            for host, shape, *key in zip(*(b.column(c).to_pylist() for c in ("host", column, *keys)), strict=True):
+                if tuple(key) != now:
+                    if wrappers:
+                        yield done()
+                    now, wrappers = tuple(key), {}
+                new = _load(shape)
+                wrappers[host] = align(wrappers[host], new) if host in wrappers else new
+        if wrappers:
+            yield done()
 
     return run
 
@@ -299,8 +310,8 @@ def infer_wrappers(s: Scratch, pages: DataFrame) -> DataFrame:
     """(host, wrapper), from every page of the host."""
     shapes = pages.select("url", "html").mapInArrow(_shapes, ddl(_SHAPES)).distinct()
     shapes = shapes.withColumns({"h": F.xxhash64("host"), "part": F.pmod(F.xxhash64("shape"), F.lit(PARTS).cast("bigint"))})
-    first = shapes.repartition("h", "part").sortWithinPartitions("h", "part").mapInArrow(_align("shape", "h", "part"), ddl(_WRAPPED))
-    both = first.repartition("h").sortWithinPartitions("h").mapInArrow(_align("wrapper", "h"), ddl(_WRAPPED))
+    first = shapes.repartition("h", "part").sortWithinPartitions("h", "part", "shape").mapInArrow(_align("shape", "h", "part"), ddl(_WRAPPED))
+    both = first.repartition("h").sortWithinPartitions("h", "wrapper").mapInArrow(_align("wrapper", "h"), ddl(_WRAPPED))
     return s.save(both.select("host", "wrapper"), narrow=True)
 
 
