@@ -43,12 +43,12 @@ def index(entries: DataFrame) -> DataFrame:
 
 
 def index_floor(index: DataFrame, probes: DataFrame) -> DataFrame:
-    """(run, probe, floor_key, offset): the greatest indexed key up to each probe, null below the first.
+    """(run, probe, floor_key, offset): the greatest indexed key up to each probe; null and -1 below the first.
 
     probes is a small stated set: it is broadcast, and each run keeps one row for a probe before any shuffle.
     """
     best = F.max(F.when(F.col("key") <= F.col("probe"), F.struct("key", "offset")))
-    return index.join(F.broadcast(probes)).groupBy("run", "probe").agg(best.alias("best")).select("run", "probe", F.col("best.key").alias("floor_key"), F.col("best.offset").alias("offset"))
+    return index.join(F.broadcast(probes)).groupBy("run", "probe").agg(best.alias("best")).select("run", "probe", F.col("best.key").alias("floor_key"), F.coalesce("best.offset", F.lit(-1)).alias("offset"))
 
 
 def file_sizes(entries: DataFrame) -> DataFrame:

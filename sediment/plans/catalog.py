@@ -182,7 +182,7 @@ def sst_index_offsets(spark, sf_dir):
     "sst_index_floor",
     f"""WITH {RUNS}, {INDEX}, p AS (SELECT unnest([{", ".join(f"'{x}'" for x in FLOOR_PROBES)}]) AS probe),
 x AS (SELECT run, probe, max(key) FILTER (WHERE key <= probe) AS floor_key FROM i, p GROUP BY run, probe)
-SELECT x.run, probe, floor_key, i."offset" FROM x LEFT JOIN i ON x.run = i.run AND floor_key = i.key""",
+SELECT x.run, probe, floor_key, coalesce(i."offset", -1)::BIGINT AS "offset" FROM x LEFT JOIN i ON x.run = i.run AND floor_key = i.key""",
 )
 def sst_index_floor(spark, sf_dir):
     probes = spark.createDataFrame([(x,) for x in FLOOR_PROBES], "probe string")
