@@ -144,7 +144,9 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, s: Scratch, least: int,
     counts = suspects.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
     repeats = s.save(counts.where(F.col("n") >= min_docs).select("key", "keeper"))
     lost = suspects.join(repeats, "key").where("doc_id != keeper").select("doc_id", "key")
-    return s.save(lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop")))
+    drops = s.save(lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop")))
+    s.sweep(drops)
+    return drops
 
 
 def _cut(names: list[str]):

@@ -254,13 +254,16 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85)
     reps = s.save(some.groupBy(*sets).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("path").alias("path"), F.count("*").alias("copies")))
 
     edges = s.save(_candidates(s, reps.where("doc_id is not null")), narrow=True)
+    s.sweep(feats, reps, edges)
     clusters = s.save(components(s, edges), narrow=True)
-    links = _links(s, docs, clusters, percent)
-    roots = s.save(links, narrow=True)
+    s.sweep(feats, reps, clusters)
+    roots = s.save(_links(s, docs, clusters, percent), narrow=True)
+    s.sweep(feats, reps, roots)
 
     # a class of copies takes its representative's component; classes of one unlinked row need no join
     moved = reps.join(roots, reps.doc_id == roots.node, "left").select(*sets, F.coalesce("root", "doc_id").alias("root")).where("root is not null")
     moved = s.save(reps.where("copies > 1").select(*sets).union(reps.join(roots, reps.doc_id == roots.node, "left_semi").select(*sets)).distinct().join(moved, sets), narrow=True)
+    s.sweep(feats, moved)
     out = feats.select("doc_id", *sets).join(moved, sets, "left")
     component = F.coalesce("root", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))

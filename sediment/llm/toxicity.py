@@ -165,6 +165,7 @@ def train(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Model:
     vocabulary = np.array([r.feature for r in top], np.int64).view(np.uint64)
     marks = np.array([r.z > 0 and r.bad / bad > 10 * r.good / good for r in top])
     rows = texts.mapInArrow(_rows(vocabulary), ddl(_ROWS)).collect()
+    s.sweep()
     rows.sort(key=lambda r: (r.toxic, bytes(r.features), bytes(r.counts)))  # the fit does not depend on row order
     feature = np.concatenate([np.frombuffer(r.features, np.int64) for r in rows])
     counts = np.concatenate([np.frombuffer(r.counts, np.int64) for r in rows])
