@@ -6,9 +6,9 @@ made by aggregates and joins. A document's perplexity comes from joining its n-g
 a model within MODEL_ROWS n-grams goes to the tasks and is looked up there; a larger one stays sharded,
 and the documents' n-gram counts are shuffled to it. Both ways give the same sums.
 
-A document is kept if its perplexity lies between two quantiles of its language's trusted documents. Text that
-repeats itself can have an ordinary perplexity; so the bytes to each different n-gram of the document are
-held against a quantile too, that of the language's trusted documents of about its length.
+A document is kept if its perplexity lies between limits set by quantiles of its language's trusted documents.
+Text that repeats itself can have an ordinary perplexity; so the bytes to each different n-gram of the
+document are held against a quantile too, that of trusted documents of about its length.
 """
 
 from __future__ import annotations
@@ -26,8 +26,11 @@ from sediment.llm.kernel import CHUNK, U, _string_parts, mix, take_ranges
 ORDER = 5
 #: N-grams of all orders that a model may hold to be sent to the tasks, some 100 MB; and ids of trusted rows likewise.
 MODEL_ROWS, TRUSTED_ROWS = 4 << 20, 1 << 20
-#: Quantiles of the trusted documents between which documents are kept.
-LOW, HIGH = 0.001, 0.999
+#: Quantiles of the trusted documents that set the limits, and how many times as far from their median the limits
+#: lie, in logarithms: the model has seen the trusted documents, so it finds others of their kind less likely.
+LOW, HIGH, STRETCH, REPEAT_STRETCH = 0.01, 0.99, 4.0, 2.0
+#: Where no trusted text has a document's size, times the largest limit on repeats of any size.
+UNSEEN = 4.0
 #: N-gram entries that a task holds before it sends them on.
 HELD = 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -234,33 +237,41 @@ def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, low: flo
     """(doc_id, lang, n_bytes, n_grams, perplexity, keep) for each row of docs (doc_id, lang, text).
 
     The model is trained on all rows of docs whose doc_id has quality 1 in labels (doc_id, quality). A row is
-    kept if its perplexity lies between the low and high quantiles of its language's trusted rows, and its
-    bytes to each different n-gram are at most the high quantile of those of its size (by powers of two);
-    where there are none, or lang is null, all trusted rows stand in. An empty or null text has a null perplexity
+    kept if its perplexity lies between limits set by the low and high quantiles of its language's trusted rows,
+    or of all where lang is null or has none, and if its bytes to each different n-gram stay below the limit
+    of the trusted rows of its size (by powers of two), of its language or of all; of any size if none has its. An empty or null text has a null perplexity
     and is not kept; without any trusted text the model is uniform and every other row is kept. Repeated
     rows count as often as they stand; other columns are left out.
     """
     prepare(spark)
     s = Scratch(spark)
     good = s.save(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct())
+    kept = [good]
     if good.count() <= TRUSTED_ROWS:
         good = F.broadcast(good)
     model = build(s, docs.select("doc_id", F.col("text").cast("string").alias("text")).join(good, "doc_id", "left_semi"))
     scored = s.save(score(spark, s, docs, model, most))
+    s.sweep(scored, *kept)
     some = F.col("n_bytes") > 0
     scored = scored.withColumns({"perplexity": F.when(some, F.exp(-F.col("log_p") / F.col("n_bytes"))), "repeats": F.when(some, F.col("n_bytes") / F.col("n_grams")), "size": F.when(some, F.floor(F.log2("n_bytes")))})
     trusted = scored.join(good, "doc_id", "left_semi").where("perplexity is not null")
     trusted = s.save(trusted)
-    between = F.percentile_approx("perplexity", [low, high], 10000).alias("between")
-    repeats = F.percentile_approx("repeats", high, 10000).alias("most")
-    overall = trusted.agg(between, repeats).first()
-    between_all, most_all = (overall.between, overall.most) if overall.between else ([0.0, float("inf")], float("inf"))
-    by_lang = trusted.where("lang is not null").groupBy("lang").agg(between)
-    by_size = trusted.where("lang is not null").groupBy("lang", "size").agg(repeats)
-    limits = F.coalesce("between", F.array(*[F.lit(float(x)) for x in between_all]))
-    keep = F.col("perplexity").between(limits[0], limits[1]) & (F.col("repeats") <= F.coalesce("most", F.lit(float(most_all))))
-    out = scored.join(by_lang, "lang", "left").join(by_size, ["lang", "size"], "left")
-    return out.select("doc_id", "lang", "n_bytes", "n_grams", F.round("perplexity", 6).alias("perplexity"), F.coalesce(keep, F.lit(False)).alias("keep"))
+    spread = lambda c, name: F.percentile_approx(c, [low, 0.5, high], 10000).alias(name)
+    stretched = lambda q, k, by: q[1] * F.pow(q[k] / q[1], F.lit(by))
+    known = trusted.where("lang is not null")
+    everyone = trusted.agg(spread("perplexity", "q")).first().q
+    everyone = F.array(*[F.lit(float(x)) for x in everyone]) if everyone else F.lit(None).cast("array<double>")
+    by_lang = known.groupBy("lang").agg(spread("perplexity", "of_lang"))
+    sizes = trusted.groupBy("size").agg(stretched(spread("repeats", "r"), 2, REPEAT_STRETCH).alias("most"))
+    sizes = s.save(sizes, narrow=True)
+    unseen = (sizes.agg(F.max("most")).first()[0] or float("inf")) * UNSEEN
+    of_lang = known.groupBy("lang", "size").agg(stretched(spread("repeats", "r"), 2, REPEAT_STRETCH).alias("most_of_lang"))
+    out = scored.join(by_lang, "lang", "left").join(sizes, "size", "left").join(of_lang, ["lang", "size"], "left")
+    q = F.coalesce("of_lang", everyone)
+    usual = F.col("perplexity").between(stretched(q, 0, STRETCH), stretched(q, 2, STRETCH))
+    most = F.coalesce(F.greatest("most", "most_of_lang"), F.lit(unseen))
+    keep = F.coalesce(usual, F.lit(True)) & F.coalesce(F.col("repeats") <= most, F.lit(False))
+    return out.select("doc_id", "lang", "n_bytes", "n_grams", F.round("perplexity", 6).alias("perplexity"), keep.alias("keep"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
