@@ -37,8 +37,8 @@ INDEX_BYTES = 32 << 20
 _END = 1 << 60
 
 
-def _grams(words: np.ndarray) -> np.ndarray:
-    n = min(GRAM, len(words))
+def _grams(words: np.ndarray, order: int = GRAM) -> np.ndarray:
+    n = min(order, len(words))
     if not n:
         return words
     h = words[: len(words) - n + 1]
@@ -83,7 +83,8 @@ class Index:
         self._reach(at, item, weight, df, n)
         self.span = int(lengths.max()) if n else 1
         cut = [len(w) - max(1, round(ANSWER * len(w))) if len(w) > 1 else len(w) for w in self.words]
-        self.parts = [(_grams(w[:c]), _grams(w[c:])) for w, c in zip(self.words, cut, strict=True)]
+        # n-grams of each part and their order: a part of fewer than GRAM words is one n-gram of its own length
+        self.parts = [tuple((min(GRAM, len(p)), _grams(p)) for p in (w[:c], w[c:])) for w, c in zip(self.words, cut, strict=True)]
         self.flags = np.zeros(1 << 20, bool)
         self.flags[(self.terms >> U(44)).astype(np.int64)] = True
 
@@ -201,12 +202,13 @@ class Index:
             lo = int(off[t]) + number * self.span
             passage = words[lo : min(int(off[t + 1]), lo + 2 * self.span)]
             got = self.retrieve(passage, among=part[:, 2])
-            grams = _grams(passage) if got else None
+            grams: dict[int, np.ndarray] = {}
             for item, score in got:
                 overlap = []
-                for part in self.parts[item]:
-                    there = grams if len(part) == 0 or len(self.words[item]) > GRAM else np.unique(mix(passage) + U(1))
-                    overlap.append(float(np.isin(part, there).mean()) if len(part) else 1.0)
+                for order, part in self.parts[item]:
+                    if order not in grams:
+                        grams[order] = _grams(passage, order)
+                    overlap.append(float(np.isin(part, grams[order]).mean()) if order else 1.0)
                 if min(overlap) >= OVERLAP:
                     best[t, item] = max(best.get((t, item), (0.0, 0.0, 0.0)), (score, *overlap))
         return best

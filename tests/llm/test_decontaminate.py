@@ -66,3 +66,19 @@ def test_planted_items_are_found_and_nothing_else(spark):
     assert clean.columns == df.columns and clean.count() == len(rows) - 31
     assert dc.leaks(spark, df, bench.limit(0)).count() == 0 and dc.leaks(spark, df.limit(0), bench).count() == 0
     assert dc.decontaminate(spark, df, bench.limit(0)).count() == len(rows)
+
+
+def test_planted_items_of_few_words_are_found(spark):
+    rnd = random.Random(12)
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in range(1, 13)}
+    rows = []
+    for n, item in items.items():
+        doc = [rnd.choice(VOCABULARY) for _ in range(80)]
+        rows.append((n, " ".join(doc[: n * 5] + item + doc[n * 5 :])))
+        rows.append((100 + n, " ".join(doc[: n * 5] + item[: n // 2] + doc[n * 5 :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(i)) for n, i in items.items()], "item_id long, text string")
+    got = dc.leaks(spark, df, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(n, n) for n in items}
+    assert all(r.score > 0.999 and r.question_overlap == r.answer_overlap == 1 for r in got)
+    assert {r.doc_id for r in dc.decontaminate(spark, df, bench).collect()} == {100 + n for n in items}
