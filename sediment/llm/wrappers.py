@@ -57,17 +57,21 @@ TEXT = "#"
 
 @lru_cache(100_000)
 def _signature(name: str, rest: str) -> str:
-    """A start tag's name, with * if its attributes put it outside the main text."""
+    """A start tag's name, with ! if its role puts it outside the main text, and * if a word of its class or id speaks for that."""
+    mark = ""
     if "=" in rest:
         for key, value in _NAMED.findall(rest):
             words = _PART.findall(value.lower())
-            if OUTSIDE_ROLES.intersection(words) if key.lower() == "role" else OUTSIDE_NAMES.intersection(words):
-                return f"<{name}*"
-    return f"<{name}"
+            if key.lower() == "role":
+                if OUTSIDE_ROLES.intersection(words):
+                    return f"<{name}!"
+            elif OUTSIDE_NAMES.intersection(words):
+                mark = "*"
+    return f"<{name}{mark}"
 
 
 def tokens(page: str) -> tuple[list[str], list[str]]:
-    """(stream, texts): tags as <name, <name* or </name and texts as #, and the raw text of each #."""
+    """(stream, texts): tags as <name, <name*, <name! or </name and texts as #, and the raw text of each #."""
     stream: list[str] = []
     texts: list[str] = []
     at, n = 0, len(page)
@@ -165,7 +169,7 @@ class Wrapper:
     def __init__(self, items: list):
         self.code: dict[str, str] = {TEXT: chr(0xE000)}
         self.names: dict[str, int] = {}
-        self.open: list[tuple[str, bool]] = []
+        self.open: list[tuple[str, int]] = []
         self.pattern = regex.compile(self._build(items))
 
     def _char(self, item: str) -> str:
@@ -175,9 +179,7 @@ class Wrapper:
         out = ""
         for x in items:
             if x == TEXT:
-                inside = any(n == "article" for n, _ in self.open)
-                kind = "n" if any(o for _, o in self.open) else "a" if inside else "b"
-                key = f"{kind}{len(self.names)}"
+                key = f"{kind(self.open)}{len(self.names)}"
                 self.names[key] = 1
                 out += f"(?P<{key}>{self.code[TEXT]})"
             elif isinstance(x, str):
@@ -195,7 +197,7 @@ class Wrapper:
         step(self.open, tag)
 
     def kinds(self, stream: list[str]) -> list[str] | None:
-        """a, b or n for each text of a stream: in an article, in the body, or not main; None if not accepted."""
+        """The kind of each text of a stream, by its slot; None if not accepted."""
         if any(x not in self.code for x in stream):
             return None
         try:
@@ -208,7 +210,30 @@ class Wrapper:
         return [k for _, k in at]
 
 
-def step(opened: list[tuple[str, bool]], tag: str) -> None:
+def kind(opened: list[tuple[str, int]]) -> str:
+    """What the open elements make of a text.
+
+    a: in an article. c, d: in an article that is marked by a word, or in an element so marked; c inside main, d outside it.
+    e, b: in no article and no marked element; e inside main, b outside it. m: in no article, but in a marked element.
+    n: in an element that is not main text by its name or role, or by a word and inside an article.
+    """
+    article, marked, main = -1, [], False
+    for k, (name, out) in enumerate(opened):
+        if out == 2:
+            return "n"
+        if name == "article":
+            article = k
+        if out:
+            marked.append(k)
+        main |= name == "main"
+    if article < 0:
+        return "m" if marked else "e" if main else "b"
+    if marked and marked[-1] > article:
+        return "n"
+    return "a" if not marked else "c" if main else "d"
+
+
+def step(opened: list[tuple[str, int]], tag: str) -> None:
     """Changes the open elements by a tag; a closing tag also closes what is still open inside."""
     if tag.startswith("</"):
         name = tag[2:]
@@ -217,35 +242,42 @@ def step(opened: list[tuple[str, bool]], tag: str) -> None:
                 del opened[k:]
                 return
         return
-    name, marked = tag[1:].rstrip("*"), tag.endswith("*")
+    name = tag[1:].rstrip("*!")
+    out = 2 if name in OUTSIDE else 0 if name in ("main", "body", "html") else 2 if tag.endswith("!") else int(tag.endswith("*"))
     if opened and opened[-1][0] in ("p", "li") and (name == opened[-1][0] or opened[-1][0] == "p" and name not in INLINE):
         opened.pop()  # their end tags may be left out
-    if name not in VOID and (name == "article" or marked or name in OUTSIDE or name in ("div", "section", "ul", "ol", "table", "main", "body")):
-        opened.append((name, (marked and name not in ("article", "main", "body", "html")) or name in OUTSIDE or (marked and name == "article")))
+    if name not in VOID and (out or name in ("article", "div", "section", "ul", "ol", "table", "main", "body")):
+        opened.append((name, out))
 
 
 def direct_kinds(stream: list[str]) -> list[str]:
     """The kinds of a stream's texts by its own open elements: the check that follows a wrapper."""
-    opened: list[tuple[str, bool]] = []
+    opened: list[tuple[str, int]] = []
     out = []
     for x in stream:
         if x == TEXT:
-            out.append("n" if any(o for _, o in opened) else "a" if any(n == "article" for n, _ in opened) else "b")
+            out.append(kind(opened))
         else:
             step(opened, x)
     return out
 
 
+def choose(there: set[str]) -> str:
+    """The kinds that are main text, of those that have text: the first of articles, the body, and marked elements that has any."""
+    return next((kinds for kinds in ("a", "c", "eb", "d", "b", "m") if kinds[0] in there), "")
+
+
 def main_text(stream: list[str], texts: list[str], kinds: list[str]) -> str:
-    """The texts of the article, or of the body where there is none, as blocks joined by one space."""
-    want = "a" if "<article" in stream else "b"
+    """The texts of the article, or of the body where no article has text, as blocks joined by one space."""
+    plain = [html.unescape(t) for t in texts]
+    want = choose({k for k, t in zip(kinds, plain, strict=True) if t.strip()})
     out, k = [], 0
     for x in stream:
         if x == TEXT:
-            if kinds[k] == want:
-                out.append(html.unescape(texts[k]))
+            if kinds[k] in want:
+                out.append(plain[k])
             k += 1
-        elif x.lstrip("</").rstrip("*") not in INLINE:
+        elif x.lstrip("</").rstrip("*!") not in INLINE:
             out.append(" ")
     return " ".join("".join(out).split())
 
@@ -355,8 +387,9 @@ def _compile(text: str) -> Wrapper | None:
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, by_host) for each row of pages (page_id, url, html).
 
-    text is the main text: what stands in article elements, or in the body where there is none, outside menus,
-    headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments; white space inside a
+    text is the main text: what stands in article elements, or in the body where none of them has text, outside menus,
+    headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. A word of a class or id alone puts
+    no article outside and nothing that encloses one; what it marks is used where nothing else has text. White space inside a
     block becomes one space and blocks are joined by one. by_host: the host's wrapper accepted the page.
     A null or empty html has an empty text; a url without a host shares the wrapper of the empty host.
     Rows are extracted one by one, so repeated rows give equal results; other columns are left out.

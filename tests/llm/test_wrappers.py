@@ -42,3 +42,21 @@ def test_folding_and_aligning():
     assert w.fold(list("abab")) == [("+", ("a", "b"))] and w.fold(list("aabaab")) == [("+", (("+", ("a",)), "b"))]
     assert w.align(["x", "a", "y"], ["x", "y"]) == ["x", ("?", ("a",)), "y"]
     assert w.align(["x", "a", "y"], ["x", ("+", ("a",)), "y"]) == ["x", ("+", ("a",)), "y"]
+
+
+def test_words_of_a_class_and_articles_aside_lose_no_main_text():
+    def text(page):
+        stream, texts = w.tokens(page)
+        kinds = w.direct_kinds(stream)
+        assert w.Wrapper(stream).kinds(stream) == kinds
+        return w.main_text(stream, texts, kinds)
+
+    assert text("<main><p>body</p></main><aside><article>teaser</article></aside>") == "body"
+    assert text("<main><p>body</p></main><div class='related'><article>teaser</article></div>") == "body"
+    assert text("<p>body</p><article> \n</article>") == "body"
+    assert text("<nav>menu</nav><div class='content no-sidebar'><p>body</p></div>") == "body"
+    assert text("<p>top</p><article class='post related-topic'><p>body</p><div class='share'>no</div></article>") == "body"
+    assert text("<p>top</p><div class='content no-sidebar'><article>body</article></div>") == "body"
+    assert text("<article>body<div class='comments'><article class='comment'>first</article></div></article>") == "body"
+    assert text("<article role='dialog'>no</article><div role='banner'><article>no</article></div><p>body</p>") == "body"
+    assert text("<p>body</p><div class='ad'>buy</div>") == "body"
