@@ -3,16 +3,19 @@
 A page is a stream of tags and texts. Tandem repeats in a stream become repeated groups; the streams of one
 host are then aligned one after another with the host's wrapper so far, and where they differ, the differing
 part becomes an optional group, or a repeated one if it is a repeat of its neighbour. Texts are slots.
-A slot's place among the open elements says whether it is main text.
+A slot's place among the open elements says whether it may be main text; over all pages of the host the wrapper knows
+each slot's usual place and whether its text is the same on all of them. A page whose elements do not close takes the
+places of its slots; and where no plain article has text, kinds of slots that the host only fills with the same
+text stand back behind those that vary, unless they are longer.
 
 Pages give their streams with repeats folded, so a host of any size sends each different stream once.
-A page is extracted by its host's wrapper; one that the wrapper does not accept (alignment is greedy)
-is extracted by the expression of its own stream, which is a wrapper of one page.
+A page that the wrapper does not accept (alignment is greedy) is extracted by its own open elements alone.
 """
 
 from __future__ import annotations
 
 import difflib
+import hashlib
 import html
 import json
 import re
@@ -30,6 +33,8 @@ from sediment.llm.frames import Scratch, batch, ddl, prepare, read
 REPEAT, LONGEST = 24, 4000
 #: Parts that a host's streams are dealt to before their wrappers are aligned with each other.
 PARTS = 16
+#: Pages of a host from which on a text that is the same in all of them is constant.
+SAME = 3
 #: Seconds for matching a page with a wrapper.
 PATIENCE = 2.0
 
@@ -198,6 +203,12 @@ class Wrapper:
 
     def kinds(self, stream: list[str]) -> list[str] | None:
         """The kind of each text of a stream, by its slot; None if not accepted."""
+        slots = self.slots(stream)
+        place = {int(key[1:]): key[0] for key in self.names}
+        return None if slots is None else [place[k] for k in slots]
+
+    def slots(self, stream: list[str]) -> list[int] | None:
+        """The number of each text's slot; None if not accepted."""
         if any(x not in self.code for x in stream):
             return None
         try:
@@ -206,7 +217,7 @@ class Wrapper:
             return None
         if not m:
             return None
-        at = sorted((s, key[0]) for key in self.names for s, _ in m.spans(key))
+        at = sorted((s, int(key[1:])) for key in self.names for s, _ in m.spans(key))
         return [k for _, k in at]
 
 
@@ -233,33 +244,44 @@ def kind(opened: list[tuple[str, int]]) -> str:
     return "a" if not marked else "c" if main else "d"
 
 
-def step(opened: list[tuple[str, int]], tag: str) -> None:
-    """Changes the open elements by a tag; a closing tag also closes what is still open inside."""
+def step(opened: list[tuple[str, int]], tag: str) -> bool:
+    """Changes the open elements by a tag; a closing tag also closes what is still open inside. False: that, or nothing to close, matters to kinds."""
     if tag.startswith("</"):
         name = tag[2:]
         for k in range(len(opened) - 1, -1, -1):
             if opened[k][0] == name:
+                inside = opened[k + 1 :]
                 del opened[k:]
-                return
-        return
+                return not _matter(inside)
+        return name != "article" and name not in OUTSIDE
     name = tag[1:].rstrip("*!")
     out = 2 if name in OUTSIDE else 0 if name in ("main", "body", "html") else 2 if tag.endswith("!") else int(tag.endswith("*"))
     if opened and opened[-1][0] in ("p", "li") and (name == opened[-1][0] or opened[-1][0] == "p" and name not in INLINE):
         opened.pop()  # their end tags may be left out
     if name not in VOID and (out or name in ("article", "div", "section", "ul", "ol", "table", "main", "body")):
         opened.append((name, out))
+    return True
 
 
-def direct_kinds(stream: list[str]) -> list[str]:
-    """The kinds of a stream's texts by its own open elements: the check that follows a wrapper."""
+def _matter(opened: list[tuple[str, int]]) -> bool:
+    return any((out or name == "article") and name not in ("p", "li") for name, out in opened)
+
+
+def direct(stream: list[str]) -> tuple[list[str], bool]:
+    """The kinds of a stream's texts by its own open elements, and whether each of these that matters is opened and closed."""
     opened: list[tuple[str, int]] = []
-    out = []
+    out, closed = [], True
     for x in stream:
         if x == TEXT:
             out.append(kind(opened))
         else:
-            step(opened, x)
-    return out
+            closed &= step(opened, x)
+    return out, closed and not _matter(opened)
+
+
+def direct_kinds(stream: list[str]) -> list[str]:
+    """The kinds of a stream's texts by its own open elements."""
+    return direct(stream)[0]
 
 
 def choose(there: set[str]) -> str:
@@ -267,10 +289,18 @@ def choose(there: set[str]) -> str:
     return next((kinds for kinds in ("a", "c", "eb", "d", "b", "m") if kinds[0] in there), "")
 
 
-def main_text(stream: list[str], texts: list[str], kinds: list[str]) -> str:
-    """The texts of the article, or of the body where no article has text, as blocks joined by one space."""
+def main_text(stream: list[str], texts: list[str], kinds: list[str], constant: list[bool] | None = None) -> str:
+    """The texts of the article, or of the body where no article has text, as blocks joined by one space.
+
+    constant: the texts whose slots the host fills with the same text everywhere.
+    """
     plain = [html.unescape(t) for t in texts]
     want = choose({k for k, t in zip(kinds, plain, strict=True) if t.strip()})
+    if want != "a" and constant and any(constant):
+        varied = choose({k for k, t, c in zip(kinds, plain, constant, strict=True) if t.strip() and not c})
+        length = [sum(len(t.strip()) for k, t in zip(kinds, plain, strict=True) if k in some) for some in (want, varied)]
+        if length[1] > length[0]:
+            want = varied
     out, k = [], 0
     for x in stream:
         if x == TEXT:
@@ -347,32 +377,101 @@ def infer_wrappers(s: Scratch, pages: DataFrame) -> DataFrame:
     return s.save(both.select("host", "wrapper"), narrow=True)
 
 
+class _Wrappers:
+    """The compiled wrappers of a task, and what they and a page's own elements make of its streams."""
+
+    def __init__(self):
+        self.compiled: dict[str, Wrapper | None] = {}
+        self.known: dict[tuple, tuple] = {}
+
+    def read(self, stream: list[str], text: str | None) -> tuple[list[int] | None, list[str], bool]:
+        """(slots, or None if not accepted; kinds by the page's own elements; whether these close)."""
+        key = (tuple(stream), text)
+        if key not in self.known:
+            if text is not None and text not in self.compiled:
+                if len(self.compiled) > 4096:
+                    self.compiled.clear()
+                self.compiled[text] = _compile(text)
+            w = self.compiled.get(text)
+            got = (w.slots(stream) if w else None, *direct(stream))
+            if len(self.known) >= 4096:
+                return got
+            self.known[key] = got
+        return self.known[key]
+
+
+_PLACES = {"host": pa.string(), "slot": pa.int64(), "kind": pa.string(), "n": pa.int64(), "low": pa.int64(), "high": pa.int64()}
+
+
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a task's pages put into the slots of their hosts: pages by kind (none where elements do not close), least and largest hash of text."""
+    wrappers = _Wrappers()
+    held: dict[tuple, list[int]] = {}
+
+    def done() -> pa.RecordBatch:
+        h, s, k = zip(*held, strict=True)
+        n, low, high = zip(*held.values(), strict=True)
+        return batch(_PLACES, host=list(h), slot=list(s), kind=list(k), n=list(n), low=list(low), high=list(high))
+
+    for b in batches:
+        for host, page, text in zip(*(b.column(c).to_pylist() for c in ("_host", "html", "_wrapper")), strict=True):
+            stream, texts = tokens(page or "")
+            slots, kinds, closed = wrappers.read(stream, text)
+            seen = set()
+            for slot, k, t in zip(slots or [], kinds, texts, strict=bool(slots)):
+                if not (words := t.split()):
+                    continue
+                x = int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                row = held.setdefault((host, slot, k if closed else None), [0, x, x])
+                row[0] += slot not in seen
+                row[1], row[2] = min(row[1], x), max(row[2], x)
+                seen.add(slot)
+        if len(held) > 1 << 16:
+            yield done()
+            held.clear()
+    if held:
+        yield done()
+
+
+def slot_places(s: Scratch, joined: DataFrame) -> DataFrame:
+    """(host, places) over all pages of a host: for each slot its number, usual kind (? if unknown) and = if it is constant."""
+    seen = joined.where("_host is not null").select("_host", "html", "_wrapper").mapInArrow(_places, ddl(_PLACES))
+    kinds = seen.groupBy("host", "slot", "kind").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    usual = F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind")))["kind"]
+    same = (F.min("low") == F.max("high")) & (F.sum("n") >= SAME)
+    slots = kinds.groupBy("host", "slot").agg(F.concat(F.col("slot").cast("string"), F.coalesce(usual, F.lit("?")), F.when(same, "=").otherwise("")).alias("place"))
+    return s.save(slots.groupBy("host").agg(F.array_join(F.collect_list("place"), " ").alias("places")), narrow=True)
+
+
+def _read_places(text: str | None) -> dict[int, tuple[str, bool]]:
+    out = {}
+    for x in (text or "").split():
+        place = x.rstrip("=")
+        out[int(place[:-1])] = (place[-1], x != place)
+    return out
+
+
 def _extract(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compiled: dict[str, Wrapper | None] = {}
-        own: dict[tuple, list[str]] = {}
+        wrappers = _Wrappers()
+        known: dict[str | None, dict] = {}
         for b in batches:
             out, by_host = [], []
-            for page, text in zip(b.column("html").to_pylist(), b.column("_wrapper").to_pylist(), strict=True):
+            for page, text, where in zip(*(b.column(c).to_pylist() for c in ("html", "_wrapper", "_places")), strict=True):
                 stream, texts = tokens(page or "")
-                key = tuple(stream)
-                if (key, text) in own:
-                    kinds, ok = own[key, text]
-                else:
-                    if text is not None and text not in compiled:
-                        if len(compiled) > 4096:
-                            compiled.clear()
-                        compiled[text] = _compile(text)
-                    w = compiled.get(text)
-                    kinds = w.kinds(stream) if w else None
-                    ok = kinds is not None
-                    # the wrapper's answer is held against the page's own elements
-                    if kinds is None or kinds != direct_kinds(stream):
-                        kinds = Wrapper(stream).kinds(stream) if len(stream) < LONGEST else direct_kinds(stream)
-                    if len(own) < 4096:
-                        own[key, text] = (kinds, ok)
-                by_host.append(ok)
-                out.append(main_text(stream, texts, kinds))
+                slots, kinds, closed = wrappers.read(stream, text)
+                constant = None
+                if slots is not None:
+                    if where not in known:
+                        if len(known) > 4096:
+                            known.clear()
+                        known[where] = _read_places(where)
+                    places = [known[where].get(k, ("?", False)) for k in slots]
+                    constant = [c for _, c in places]
+                    if not closed:
+                        kinds = [own if p == "?" else p for (p, _), own in zip(places, kinds, strict=True)]
+                by_host.append(slots is not None)
+                out.append(main_text(stream, texts, kinds, constant))
             new = {"text": pa.array(out, pa.string()), "by_host": pa.array(by_host)}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
 
@@ -390,7 +489,8 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     text is the main text: what stands in article elements, or in the body where none of them has text, outside menus,
     headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. A word of a class or id alone puts
     no article outside and nothing that encloses one; what it marks is used where nothing else has text. White space inside a
-    block becomes one space and blocks are joined by one. by_host: the host's wrapper accepted the page.
+    block becomes one space and blocks are joined by one. by_host: the host's wrapper accepted the page,
+    and so had a say in it: in a page whose elements do not close, and among kinds of text where no plain article has any.
     A null or empty html has an empty text; a url without a host shares the wrapper of the empty host.
     Rows are extracted one by one, so repeated rows give equal results; other columns are left out.
     """
@@ -399,7 +499,11 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     some = pages.select("page_id", F.col("url").cast("string"), F.col("html").cast("string"))
     wrappers = infer_wrappers(s, some).select(F.col("host").alias("_host"), F.col("wrapper").alias("_wrapper"))
     host = F.lower(F.regexp_replace(F.regexp_extract(F.coalesce("url", F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.\-]*:)?//([^/?#]*)", 1), "^.*@", ""))
-    joined = some.withColumn("_key", host).join(wrappers, F.col("_key") == F.col("_host"), "left").drop("_key", "_host")
+    keyed = some.withColumn("_key", host)
+    places = slot_places(s, keyed.join(wrappers, F.col("_key") == F.col("_host")))
+    # written, so that its size is known and a small table is broadcast
+    both = s.save(wrappers.join(places.select(F.col("host").alias("_host"), F.col("places").alias("_places")), "_host", "left"), narrow=True)
+    joined = keyed.join(both, F.col("_key") == F.col("_host"), "left").drop("_key", "_host")
     kind = pages.schema["page_id"].dataType.simpleString()
     names = ["page_id", "url", "text", "by_host"]
     return joined.mapInArrow(_extract(names), f"page_id {kind}, url string, text string, by_host boolean")

@@ -60,3 +60,19 @@ def test_words_of_a_class_and_articles_aside_lose_no_main_text():
     assert text("<article>body<div class='comments'><article class='comment'>first</article></div></article>") == "body"
     assert text("<article role='dialog'>no</article><div role='banner'><article>no</article></div><p>body</p>") == "body"
     assert text("<p>body</p><div class='ad'>buy</div>") == "body"
+
+
+def test_the_wrapper_decides_by_what_the_host_puts_into_its_slots(spark):
+    layout = "<nav>menu</nav><p>Same line</p><div class='content no-sidebar'><p>body %d of the page</p></div>"
+    menu = "<nav><b>home %d</b></nav><article><p>text %d</p></article><footer>end</footer>"
+    rows = [(k, "http://l.example", layout % k) for k in range(4)]
+    rows += [(10 + k, "http://m.example", menu % (k, k)) for k in range(4)]
+    rows += [(20, "http://m.example", (menu % (5, 5)).replace("</nav>", "")), (21, "http://alone.example", layout % 9)]
+    rows += [(30 + k, "http://c.example", f"<p>one long body that is the same</p><div class='ad'>ad {k}</div>") for k in range(4)]
+    out = w.extract(spark, spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    got = {r.page_id: r.text for r in out}
+    assert all(r.by_host for r in out)
+    assert [got[k] for k in range(4)] == [f"body {k} of the page" for k in range(4)]
+    assert [got[10 + k] for k in range(4)] == [f"text {k}" for k in range(4)] and got[20] == "text 5"
+    assert got[21] == "Same line"
+    assert {got[30 + k] for k in range(4)} == {"one long body that is the same"}
