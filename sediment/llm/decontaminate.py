@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.frames import batch, ddl, prepare, read
+from sediment.llm.frames import Scratch, batch, ddl, prepare, read
 from sediment.llm.kernel import ALNUM, U, mix, text_words
 
 K1, B = 1.2, 0.75
@@ -47,12 +47,24 @@ def _grams(words: np.ndarray, order: int = GRAM) -> np.ndarray:
     return np.unique(mix(h) + U(n))
 
 
+@dataclass
+class Stats:
+    """What scores and passages take from all items: their number, words in all and in the longest, and items by term (ascending)."""
+
+    items: int
+    words: int
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 @dataclass
 class Index:
-    """Postings by term, ascending by item, in blocks that know their largest weight."""
+    """Postings by term, ascending by item, in blocks that know their largest weight. stats: of all items, where these are a part."""
 
     item_ids: list[int]
     words: list[np.ndarray]
+    stats: Stats | None = None
     terms: np.ndarray = field(default=None)
     posts: list[np.ndarray] = field(default=None)
     weights: list[np.ndarray] = field(default=None)
@@ -60,7 +72,7 @@ class Index:
     def __post_init__(self):
         n = len(self.words)
         lengths = np.array([len(w) for w in self.words], float)
-        mean = lengths.mean() if n else 1.0
+        mean = self.stats.words / max(1, self.stats.items) if self.stats else lengths.mean() if n else 1.0
         rows = []
         for i, w in enumerate(self.words):
             term, tf = np.unique(w, return_counts=True)
@@ -68,7 +80,8 @@ class Index:
         term, item, tf = (np.concatenate(x) if n else np.zeros(0, np.uint64) for x in zip(*rows, strict=True)) if n else (np.zeros(0, np.uint64),) * 3
         self.terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
         item = item.astype(np.int64)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        all_n, all_df = (self.stats.items, self.stats.df[np.searchsorted(self.stats.terms, self.terms)]) if self.stats else (n, df)
+        idf = np.log1p((all_n - all_df + 0.5) / (all_df + 0.5))
         impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean)) if len(at) else np.zeros(0)
         own = np.bincount(item, impact, minlength=n)
         weight = impact / own[item] if len(at) else impact
@@ -81,7 +94,7 @@ class Index:
         self.block_end = [p[np.minimum(np.arange(BLOCK - 1, len(p) + BLOCK - 1, BLOCK), len(p) - 1)] for p in self.posts]
         self.upper = np.array([w.max() for w in self.weights])
         self._reach(at, item, weight, df, n)
-        self.span = int(lengths.max()) if n else 1
+        self.span = self.stats.longest if self.stats else int(lengths.max()) if n else 1
         cut = [len(w) - max(1, round(ANSWER * len(w))) if len(w) > 1 else len(w) for w in self.words]
         # n-grams of each part and their order: a part of fewer than GRAM words is one n-gram of its own length
         self.parts = [tuple((min(GRAM, len(p)), _grams(p)) for p in (w[:c], w[c:])) for w, c in zip(self.words, cut, strict=True)]
@@ -214,15 +227,47 @@ class Index:
         return best
 
 
+_TERMS = {"shard": pa.int64(), "words": pa.int64(), "terms": pa.list_(pa.int64())}
+
+
+def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = [w for _, w, _ in text_words(b.column("text").cast(pa.string()), ALNUM, at_most=1)] if b.num_rows else []
+        kept = [k for k, w in enumerate(words) if len(w)]
+        shards = b.column("shard").to_pylist()
+        yield batch(_TERMS, shard=[shards[k] for k in kept], words=[len(words[k]) for k in kept], terms=[np.unique(words[k]).view(np.int64) for k in kept])
+
+
+def _shard_stats(items: DataFrame, shards: int) -> Iterator[Stats]:
+    """For each shard in turn, the figures of all items; document frequencies only of the shard's own terms."""
+    s = Scratch(items.sparkSession)
+    rows = s.save(items.mapInArrow(_item_terms, ddl(_TERMS)))
+    each = rows.select("shard", F.explode("terms").alias("term")).groupBy("shard", "term").agg(F.count("*").alias("n"))
+    each = s.save(each)
+    whole = s.save(each.groupBy("term").agg(F.sum("n").alias("df")))
+    n, words, longest = rows.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(1))).first()
+    for k in range(shards):
+        got = whole.join(each.where(F.col("shard") == k).select("term"), "term", "left_semi").toArrow()
+        terms = got.column("term").to_numpy().view(np.uint64)
+        order = np.argsort(terms)
+        yield Stats(n, words, longest, terms[order], got.column("df").to_numpy()[order])
+    s.drop(*s.tables)
+
+
 def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the items (item_id, text), each of at most about INDEX_BYTES of text; items without words have no place."""
+    """Indexes of the items (item_id, text), each of at most about INDEX_BYTES of text; items without words have no place.
+
+    Several indexes score as one would: each takes the figures of all items.
+    """
     items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     shards = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // INDEX_BYTES
-    for k in range(shards):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k).orderBy("item_id", "text").collect()
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards).cast("bigint")))
+    stats = _shard_stats(items, shards) if shards > 1 else iter([None])
+    for k, of_all in enumerate(stats):
+        rows = items.where(F.col("shard") == k).orderBy("item_id", "text").collect()
         words = [w for _, w, _ in text_words(pa.array([r.text for r in rows], pa.string()), ALNUM, at_most=1)] if rows else []
         kept = [(r.item_id, w) for r, w in zip(rows, words, strict=True) if len(w)]
-        yield Index([i for i, _ in kept], [w for _, w in kept])
+        yield Index([i for i, _ in kept], [w for _, w in kept], of_all)
 
 
 def _text_matches(index: Index, column: pa.Array) -> Iterator[tuple[int, dict]]:

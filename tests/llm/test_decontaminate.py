@@ -82,3 +82,18 @@ def test_planted_items_of_few_words_are_found(spark):
     assert {(r.doc_id, r.item_id) for r in got} == {(n, n) for n in items}
     assert all(r.score > 0.999 and r.question_overlap == r.answer_overlap == 1 for r in got)
     assert {r.doc_id for r in dc.decontaminate(spark, df, bench).collect()} == {100 + n for n in items}
+
+
+def test_several_indexes_score_as_one(spark, monkeypatch):
+    rnd = random.Random(13)
+    items = [[f"only{k}" for _ in range(3 + k)] + [rnd.choice(VOCABULARY[:40]) for _ in range(rnd.randint(5, 30))] for k in range(24)]
+    rows = [(k, " ".join(passage(30) + item[: rnd.randint(len(item) * 4 // 5, len(item))] + passage(60))) for k, item in enumerate(items)]
+    rows += [(100 + k, " ".join(passage(rnd.randint(1, 200)))) for k in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame([*[(k, " ".join(i)) for k, i in enumerate(items)], (90, ""), (91, None)], "item_id long, text string")
+    one = sorted(map(tuple, dc.leaks(spark, df, bench).collect()))
+    kept = sorted(r.doc_id for r in dc.decontaminate(spark, df, bench).collect())
+    monkeypatch.setattr(dc, "INDEX_BYTES", 600)
+    assert len(list(dc.indexes(bench))) > 3
+    assert sorted(map(tuple, dc.leaks(spark, df, bench).collect())) == one and len(one) > 5
+    assert sorted(r.doc_id for r in dc.decontaminate(spark, df, bench).collect()) == kept
