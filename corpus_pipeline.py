@@ -26,10 +26,14 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest doc_id; a row without an id stays."""
-    found = neardup.near_duplicates(spark, docs)
-    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies, that of the smallest doc_id; a row without an id stays.
+
+    Rows go by doc_id and text, so another text of the same doc_id stays.
+    """
+    found = neardup.marked_rows(spark, docs)
+    gone = found.where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = (F.col("doc_id").cast("bigint") == F.col("_id")) & (neardup.text_hash("text") == F.col("_hash"))
+    return docs.join(gone, same, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

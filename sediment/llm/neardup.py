@@ -6,7 +6,7 @@ path. A node of few documents is compared exhaustively on sketches; larger ones
 bring together is then confirmed on full shingle sets, cluster by cluster, so a wrong guess costs time
 and never a wrong link.
 
-Copies of one set are one vertex from the start. A cluster too large for one task is dealt into blocks:
+Copies of one set are one vertex from the start, known by a number of its own, since rows may share a doc_id and differ in text. A cluster too large for one task is dealt into blocks:
 links within blocks first, then of every block to the cluster's most central documents, then of what
 is still outside the largest component to every block. No step sees all pairs of a large group.
 """
@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sediment.llm.frames import Scratch, batch, components, ddl, groups, prepare, read
@@ -66,7 +66,7 @@ def paths(tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-_FEATURES = {"doc_id": pa.int64(), "n_shingles": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "sketch": pa.binary(), "path": pa.binary()}
+_FEATURES = {"doc_id": pa.int64(), "text_hash": pa.int64(), "n_shingles": pa.int64(), "f1": pa.int64(), "f2": pa.int64(), "sketch": pa.binary(), "path": pa.binary()}
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,10 +85,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 short, long = (tokens & U(0xFFFF)).astype(np.uint16), paths(tokens)
                 for i, r in enumerate(full.tolist()):
                     sketch[r], path[r] = short[i].tobytes(), long[i].tobytes()
-            yield batch(_FEATURES, doc_id=b.column("doc_id").slice(first, rows), n_shingles=n.astype(np.int64), f1=f1.view(np.int64), f2=f2.view(np.int64), sketch=sketch, path=path)
+            yield batch(_FEATURES, doc_id=b.column("doc_id").slice(first, rows), text_hash=b.column("text_hash").slice(first, rows), n_shingles=n.astype(np.int64), f1=f1.view(np.int64), f2=f2.view(np.int64), sketch=sketch, path=path)
 
 
-_NODES = {"doc_id": pa.int64()} | {f"k{d}": pa.int64() for d in range(1, DEPTH + 1)}
+_NODES = {"vertex": pa.int64()} | {f"k{d}": pa.int64() for d in range(1, DEPTH + 1)}
 
 
 def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +96,8 @@ def _nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not b.num_rows:
             continue
         at = np.frombuffer(b"".join(b.column("path").to_pylist()), np.int64).reshape(-1, DEPTH)
-        ids = np.repeat(b.column("doc_id").to_numpy(), TREES)
-        yield batch(_NODES, doc_id=ids, **{f"k{d + 1}": at[:, d] for d in range(DEPTH)})
+        ids = np.repeat(b.column("vertex").to_numpy(), TREES)
+        yield batch(_NODES, vertex=ids, **{f"k{d + 1}": at[:, d] for d in range(DEPTH)})
 
 
 class Union:
@@ -124,7 +124,7 @@ def _leaf_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compares a small node exhaustively on sketches; a spanning forest of its candidates is enough."""
     a, b = [], []
     for g in groups(batches, "node"):
-        ids = g.column("doc_id").to_numpy()
+        ids = g.column("vertex").to_numpy()
         s = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint16).reshape(len(ids), COORDS)
         found = Union(ids.tolist())
         for i in range(1, len(ids)):
@@ -140,7 +140,7 @@ def _leaf_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(_EDGES, a=a, b=b)
 
 
-_SETS = {"cluster": pa.int64(), "size": pa.int64(), "doc_id": pa.int64(), "shingles": pa.binary()}
+_SETS = {"cluster": pa.int64(), "size": pa.int64(), "vertex": pa.int64(), "shingles": pa.binary()}
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +148,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for first, sets, off in shingle_sets(b.column("text")):
             rows = len(off) - 1
             packed = [sets[lo:hi].tobytes() for lo, hi in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield batch(_SETS, shingles=packed, **{k: b.column(k).slice(first, rows) for k in ("cluster", "size", "doc_id")})
+            yield batch(_SETS, shingles=packed, **{k: b.column(k).slice(first, rows) for k in ("cluster", "size", "vertex")})
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -163,7 +163,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 class _Members:
     def __init__(self, g: pa.RecordBatch):
-        self.ids = g.column("doc_id").to_numpy()
+        self.ids = g.column("vertex").to_numpy()
         self.sets = [np.frombuffer(x, np.uint64) for x in g.column("shingles").to_pylist()]
         off = np.concatenate([[0], np.cumsum([len(s) for s in self.sets])])
         self.sketch = (minwise(np.concatenate(self.sets), off) & U(0xFFFF)).astype(np.uint16)
@@ -246,38 +246,56 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85)
     are linked; rows that repeat a doc_id each get their own text's component. A null doc_id never
     names a component unless no copy has an id. Further columns of docs are ignored; an empty table gives none.
     """
+    return marked_rows(spark, docs, percent=percent).drop("text_hash")
+
+
+def text_hash(column: str) -> Column:
+    """What tells rows of one doc_id apart."""
+    return F.xxhash64(F.col(column).cast("string"))
+
+
+def marked_rows(spark: SparkSession, docs: DataFrame, *, percent: int = 85) -> DataFrame:
+    """near_duplicates with the text_hash of each row."""
     prepare(spark)
     s = Scratch(spark)
-    feats = s.save(docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_features, ddl(_FEATURES)))
+    feats = s.save(_texts(docs).mapInArrow(_features, ddl(_FEATURES)))
     some = feats.where("n_shingles > 0")
     sets = ["n_shingles", "f1", "f2"]
-    reps = s.save(some.groupBy(*sets).agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("path").alias("path"), F.count("*").alias("copies")))
+    reps = some.groupBy(*sets).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("row"), F.first("sketch").alias("sketch"), F.first("path").alias("path"), F.count("*").alias("copies"))
+    # written once, so each set keeps its number
+    reps = s.save(reps.select("*", "row.doc_id", "row.text_hash", F.monotonically_increasing_id().alias("vertex")).drop("row"))
 
     edges = s.save(_candidates(s, reps.where("doc_id is not null")), narrow=True)
     s.sweep(feats, reps, edges)
     clusters = s.save(components(s, edges), narrow=True)
     s.sweep(feats, reps, clusters)
-    roots = s.save(_links(s, docs, clusters, percent), narrow=True)
+    linked_sets = s.save(_links(s, docs, reps, clusters, percent), narrow=True)
+    named = linked_sets.join(reps.select("vertex", "doc_id"), linked_sets.node == F.col("vertex")).groupBy("root").agg(F.min("doc_id").alias("name"))
+    roots = s.save(linked_sets.join(named, "root").select("node", F.col("name").alias("root")), narrow=True)
     s.sweep(feats, reps, roots)
 
     # a class of copies takes its representative's component; classes of one unlinked row need no join
-    moved = reps.join(roots, reps.doc_id == roots.node, "left").select(*sets, F.coalesce("root", "doc_id").alias("root")).where("root is not null")
-    moved = s.save(reps.where("copies > 1").select(*sets).union(reps.join(roots, reps.doc_id == roots.node, "left_semi").select(*sets)).distinct().join(moved, sets), narrow=True)
+    moved = reps.join(roots, reps.vertex == roots.node, "left").select(*sets, F.coalesce("root", "doc_id").alias("root")).where("root is not null")
+    moved = s.save(reps.where("copies > 1").select(*sets).union(reps.join(roots, reps.vertex == roots.node, "left_semi").select(*sets)).distinct().join(moved, sets), narrow=True)
     s.sweep(feats, moved)
-    out = feats.select("doc_id", *sets).join(moved, sets, "left")
+    out = feats.select("doc_id", "text_hash", *sets).join(moved, sets, "left")
     component = F.coalesce("root", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+    return out.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), text_hash("text").alias("text_hash"))
 
 
 def _candidates(s: Scratch, reps: DataFrame) -> DataFrame:
     """Edges between documents that a tree brings together and whose sketches agree."""
-    now = reps.select("path", "doc_id").mapInArrow(_nodes, ddl(_NODES))
+    now = reps.select("path", "vertex").mapInArrow(_nodes, ddl(_NODES))
     leaves, last = [], f"k{DEPTH}"
     for d in range(1, DEPTH + 1):
         key = f"k{d}"
         counts = s.save(now.groupBy(key).agg(F.count("*").alias("n")).where("n > 1"), narrow=True)
         met = s.save(now.join(counts, key).select(*_NODES, "n"), narrow=True)
-        leaves.append(met.where(F.col("n") <= LEAF).select(F.col(key).alias("node"), "doc_id"))
+        leaves.append(met.where(F.col("n") <= LEAF).select(F.col(key).alias("node"), "vertex"))
         now = met.where(F.col("n") > LEAF).select(*_NODES)
         if now.isEmpty():
             now = None
@@ -285,48 +303,47 @@ def _candidates(s: Scratch, reps: DataFrame) -> DataFrame:
     small = leaves[0]
     for more in leaves[1:]:
         small = small.union(more)
-    small = small.distinct().join(reps.select("doc_id", "sketch"), "doc_id").repartition("node").sortWithinPartitions("node")
+    small = small.distinct().join(reps.select("vertex", "sketch"), "vertex").repartition("node").sortWithinPartitions("node")
     edges = small.mapInArrow(_leaf_edges, ddl(_EDGES)).distinct()
     if now is not None:
-        first = s.save(now.groupBy(last).agg(F.min("doc_id").alias("b")), narrow=True)
-        edges = edges.union(now.join(first, last).select(F.col("doc_id").alias("a"), "b").distinct())
+        first = s.save(now.groupBy(last).agg(F.min("vertex").alias("b")), narrow=True)
+        edges = edges.union(now.join(first, last).select(F.col("vertex").alias("a"), "b").distinct())
     return edges
 
 
-def _links(s: Scratch, docs: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
-    """(node, root): the confirmed component of every document in a cluster."""
+def _links(s: Scratch, docs: DataFrame, reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """(node, root): the confirmed component of every set in a cluster."""
     sizes = s.save(clusters.groupBy("root").agg(F.count("*").alias("size")), narrow=True)
-    member = s.save(clusters.join(sizes, "root").select(F.col("root").alias("cluster"), "size", F.col("node").alias("doc_id")), narrow=True)
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    held = s.save(texts.join(member, "doc_id").mapInArrow(_sets, ddl(_SETS)).where("length(shingles) > 0"))
+    member = s.save(clusters.join(sizes, "root").select(F.col("root").alias("cluster"), "size", F.col("node").alias("vertex")).join(reps.select("vertex", "doc_id", "text_hash"), "vertex"), narrow=True)
+    held = s.save(_texts(docs).join(member, ["doc_id", "text_hash"]).mapInArrow(_sets, ddl(_SETS)).where("length(shingles) > 0"))
     whole = held.where(F.col("size") <= CLUSTER).repartition("cluster").sortWithinPartitions("cluster")
     done = s.save(whole.mapInArrow(_confirm_clusters(percent), ddl(_EDGES)), narrow=True)
-    large = held.where(F.col("size") > CLUSTER).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("size") / BLOCK)))
+    large = held.where(F.col("size") > CLUSTER).withColumn("block", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("size") / BLOCK)))
     if large.isEmpty():
         return done.select(F.col("a").alias("node"), F.col("b").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
 
     dealt = large.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
     inner = s.save(dealt.mapInArrow(_confirm_blocks(percent), ddl(_BLOCKS)))
     order = Window.partitionBy("cluster").orderBy(F.desc("score"), "a")
-    leaders = s.save(inner.where("score is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).select("cluster", F.col("a").alias("doc_id"), "shingles"))
+    leaders = s.save(inner.where("score is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).select("cluster", F.col("a").alias("vertex"), "shingles"))
     blocks = large.select("cluster", "block").distinct()
-    label = inner.select("cluster", F.col("a").alias("doc_id"), F.col("b").alias("label"))
-    rows = ["cluster", "block", "other", "near", "label", "doc_id", "shingles"]
-    known = large.join(label, ["cluster", "doc_id"])
-    to_all = known.select("cluster", "block", F.lit(0).cast("bigint").alias("other"), F.lit(False).alias("near"), "label", "doc_id", "shingles")
-    led = leaders.join(label, ["cluster", "doc_id"]).join(blocks, "cluster").select("cluster", "block", F.lit(0).cast("bigint").alias("other"), F.lit(True).alias("near"), "label", "doc_id", "shingles")
+    label = inner.select("cluster", F.col("a").alias("vertex"), F.col("b").alias("label"))
+    rows = ["cluster", "block", "other", "near", "label", "vertex", "shingles"]
+    known = large.join(label, ["cluster", "vertex"])
+    to_all = known.select("cluster", "block", F.lit(0).cast("bigint").alias("other"), F.lit(False).alias("near"), "label", "vertex", "shingles")
+    led = leaders.join(label, ["cluster", "vertex"]).join(blocks, "cluster").select("cluster", "block", F.lit(0).cast("bigint").alias("other"), F.lit(True).alias("near"), "label", "vertex", "shingles")
     across = to_all.select(*rows).union(led.select(*rows)).repartition("cluster", "block").sortWithinPartitions("cluster", "block")
     edges = s.save(inner.select("a", "b").union(across.mapInArrow(_confirm_across(percent), ddl(_EDGES))))
     parts = s.save(components(s, edges), narrow=True)
 
     # what is outside a cluster's largest component meets every block of the cluster
-    named = s.save(large.join(parts, large.doc_id == parts.node).select("cluster", "size", "block", "doc_id", F.col("root").alias("label"), "shingles"))
-    counts = named.groupBy("cluster", "label").agg(F.countDistinct("doc_id").alias("n"))
+    named = s.save(large.join(parts, large.vertex == parts.node).select("cluster", "size", "block", "vertex", F.col("root").alias("label"), "shingles"))
+    counts = named.groupBy("cluster", "label").agg(F.countDistinct("vertex").alias("n"))
     giant = s.save(counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("cluster", F.col("top.label").alias("giant"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("n_rest")), narrow=True)
     rest = named.join(giant.where("n_rest > 0"), "cluster")
-    left = rest.where("label != giant").withColumn("other", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("n_rest")))
-    near = left.join(blocks, "cluster", "inner").select("cluster", blocks.block, "other", F.lit(True).alias("near"), "label", "doc_id", "shingles")
-    far = rest.select("cluster", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_rest") - 1)).alias("other"), F.lit(False).alias("near"), "label", "doc_id", "shingles")
+    left = rest.where("label != giant").withColumn("other", F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("n_rest")))
+    near = left.join(blocks, "cluster", "inner").select("cluster", blocks.block, "other", F.lit(True).alias("near"), "label", "vertex", "shingles")
+    far = rest.select("cluster", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_rest") - 1)).alias("other"), F.lit(False).alias("near"), "label", "vertex", "shingles")
     met = near.select(*rows).union(far.select(*rows)).repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other")
     more = s.save(met.mapInArrow(_confirm_across(percent), ddl(_EDGES)))
     if not more.isEmpty():

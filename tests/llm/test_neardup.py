@@ -87,3 +87,21 @@ def test_sketches_and_paths_of_equal_sets_agree():
     tokens = neardup.minwise(s, off)
     nodes = neardup.paths(tokens)
     assert (tokens[0] == tokens[1]).all() and (nodes[0] == nodes[1]).all() and not (nodes[0] == nodes[2]).any()
+
+
+def test_rows_that_share_an_id_but_not_a_text(spark):
+    import corpus_pipeline
+
+    word = random.Random(5)
+    text = lambda n: " ".join("".join(word.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    base, alone, other = text(80), text(80), text(80)
+    rows = [(1, base), (7, base + " end"), (7, alone), (8, other), (3, other + " end"), (3, alone + " last one"), (9, text(50)), (9, text(50)), (None, base)]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], SCHEMA)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark, df).collect()), key=str)
+    want = [(1, 76, 1, True), (7, 77, 1, False), (7, 76, 3, False), (8, 76, 3, False), (3, 77, 3, True), (3, 78, 3, True), (9, 46, 9, True), (9, 46, 9, True), (None, 76, 1, False)]
+    assert got == sorted(want, key=str)
+    left = corpus_pipeline.drop_near_copies(spark, df, None)
+    assert left.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted((r for r, w in zip(rows, want) if w[3] or r[0] is None), key=str)
+    unique = spark.createDataFrame([(1, base, "x", 1), (7, base + " end", "x", 1), (7, alone, "x", 1)], SCHEMA)
+    assert {r.text for r in corpus_pipeline.drop_near_copies(spark, unique, None).collect()} == {base, alone}
