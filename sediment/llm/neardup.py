@@ -6,7 +6,7 @@ path. A node of few documents is compared exhaustively on sketches; larger ones
 bring together is then confirmed on full shingle sets, cluster by cluster, so a wrong guess costs time
 and never a wrong link.
 
-Copies of one set are one vertex from the start, known by a number of its own, since rows may share a doc_id and differ in text. A cluster too large for one task is dealt into blocks:
+Copies of one set are one vertex from the start, known by the smallest doc_id, or by a hash of that and the text where rows share it and differ in text. A cluster too large for one task is dealt into blocks:
 links within blocks first, then of every block to the cluster's most central documents, then of what
 is still outside the largest component to every block. No step sees all pairs of a large group.
 """
@@ -262,16 +262,21 @@ def marked_rows(spark: SparkSession, docs: DataFrame, *, percent: int = 85) -> D
     some = feats.where("n_shingles > 0")
     sets = ["n_shingles", "f1", "f2"]
     reps = some.groupBy(*sets).agg(F.min(F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))).alias("row"), F.first("sketch").alias("sketch"), F.first("path").alias("path"), F.count("*").alias("copies"))
-    # written once, so each set keeps its number
-    reps = s.save(reps.select("*", "row.doc_id", "row.text_hash", F.monotonically_increasing_id().alias("vertex")).drop("row"))
+    ids = some.where("doc_id is not null").groupBy("doc_id").agg(F.min("text_hash").alias("low"), F.max("text_hash").alias("high"))
+    shared = s.save(ids.where("low != high").select("doc_id", F.lit(True).alias("shared")), narrow=True)
+    # a vertex is the doc_id, or where different texts share that, a hash of both
+    reps = reps.select("*", "row.doc_id", "row.text_hash").drop("row").join(shared, "doc_id", "left")
+    reps = s.save(reps.withColumn("vertex", F.when(F.col("shared"), F.xxhash64("doc_id", "text_hash")).otherwise(F.col("doc_id"))))
+    own = None if shared.isEmpty() else reps.where("shared").select("vertex", "doc_id", "text_hash")
 
     edges = s.save(_candidates(s, reps.where("doc_id is not null")), narrow=True)
     s.sweep(feats, reps, edges)
     clusters = s.save(components(s, edges), narrow=True)
     s.sweep(feats, reps, clusters)
-    linked_sets = s.save(_links(s, docs, reps, clusters, percent), narrow=True)
-    named = linked_sets.join(reps.select("vertex", "doc_id"), linked_sets.node == F.col("vertex")).groupBy("root").agg(F.min("doc_id").alias("name"))
-    roots = s.save(linked_sets.join(named, "root").select("node", F.col("name").alias("root")), narrow=True)
+    roots = s.save(_links(s, docs, own, clusters, percent), narrow=True)
+    if own is not None:
+        named = roots.join(reps.select("vertex", "doc_id"), roots.node == F.col("vertex")).groupBy("root").agg(F.min("doc_id").alias("name"))
+        roots = s.save(roots.join(named, "root").select("node", F.col("name").alias("root")), narrow=True)
     s.sweep(feats, reps, roots)
 
     # a class of copies takes its representative's component; classes of one unlinked row need no join
@@ -311,11 +316,15 @@ def _candidates(s: Scratch, reps: DataFrame) -> DataFrame:
     return edges
 
 
-def _links(s: Scratch, docs: DataFrame, reps: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+def _links(s: Scratch, docs: DataFrame, own: DataFrame | None, clusters: DataFrame, percent: int) -> DataFrame:
     """(node, root): the confirmed component of every set in a cluster."""
     sizes = s.save(clusters.groupBy("root").agg(F.count("*").alias("size")), narrow=True)
-    member = s.save(clusters.join(sizes, "root").select(F.col("root").alias("cluster"), "size", F.col("node").alias("vertex")).join(reps.select("vertex", "doc_id", "text_hash"), "vertex"), narrow=True)
-    held = s.save(_texts(docs).join(member, ["doc_id", "text_hash"]).mapInArrow(_sets, ddl(_SETS)).where("length(shingles) > 0"))
+    member = s.save(clusters.join(sizes, "root").select(F.col("root").alias("cluster"), "size", F.col("node").alias("vertex")), narrow=True)
+    texts = _texts(docs)
+    rows = texts.select(F.col("doc_id").alias("vertex"), "text").join(member, "vertex").select("vertex", "text", "cluster", "size")
+    if own is not None:
+        rows = rows.union(texts.join(member.join(own, "vertex"), ["doc_id", "text_hash"]).select(*rows.columns))
+    held = s.save(rows.mapInArrow(_sets, ddl(_SETS)).where("length(shingles) > 0"))
     whole = held.where(F.col("size") <= CLUSTER).repartition("cluster").sortWithinPartitions("cluster")
     done = s.save(whole.mapInArrow(_confirm_clusters(percent), ddl(_EDGES)), narrow=True)
     large = held.where(F.col("size") > CLUSTER).withColumn("block", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("size") / BLOCK)))
