@@ -2,24 +2,22 @@
 
 Texts stay UTF-8 bytes. Word classes are sets of bytes, so a split by bytes is a split by code points
 as long as every byte from 0x80 on is either always or never a word byte, which both classes below obey.
-A word's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums, then mixed.
+A word's hash takes in its length and its bytes, eight at a time, each time through a bijective finaliser.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U = np.uint64
-_BASE = 0x9E3779B97F4A7C15  # odd, 5 mod 8: its powers have the longest period
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-_VALUES[ord("A") : ord("Z") + 1] = _VALUES[ord("a") : ord("z") + 1]  # A-Z count as a-z
-
-#: The same for hashes that tell cases apart.
-_EXACT = np.random.default_rng(20240301).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: A-Z count as a-z.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[ord("A") : ord("Z") + 1] += 32
 
 #: `[^\x20\x09-\x0D]+`
 NON_SPACE = np.ones(256, dtype=bool)
@@ -31,7 +29,12 @@ for _lo, _hi in ((0x30, 0x3A), (0x41, 0x5B), (0x61, 0x7B), (0x80, 0x100)):
 
 #: Bytes handled at once: bounds the numpy buffers whatever a batch or one text holds.
 CHUNK = 1 << 20
-_powers = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Bytes of a span up to which its lanes are hashed in numpy, all spans at once; a longer one is hashed by itself.
+SHORT = 256
+#: The bytes of a lane that belong to a span of which 0 to 8 bytes are left.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Seeds: of words, the same on all machines, and of spans, which never leave their process, so that no text can be made to collide.
+_WORDS, _SPANS = 0x51ED270B7F4A7C15, int.from_bytes(os.urandom(8), "little")
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -41,14 +44,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK + 1)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0][:n], _powers[1][:n]
+def _hash(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """Hashes of spans of buf: length and all bytes, eight at a time, go through the finaliser one after another."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    lanes = np.ndarray((len(buf) + 1,), "<u8", padded, strides=(1,))
+    length = ends - starts
+    h = mix(length.astype(np.uint64) * U(0x9E3779B97F4A7C15) + U(seed))
+    h = mix(h ^ (lanes[starts] & _KEEP[np.minimum(length, 8)]))
+    rows = np.flatnonzero((length > 8) & (length <= SHORT))
+    at, left = starts[rows] + 8, length[rows] - 8
+    while len(rows):
+        h[rows] = mix(h[rows] ^ (lanes[at] & _KEEP[np.minimum(left, 8)]))
+        more = left > 8
+        rows, at, left = rows[more], at[more] + 8, left[more] - 8
+    for k in np.flatnonzero(length > SHORT).tolist():
+        h[k] = U(xxhash.xxh3_64_intdigest(padded[starts[k] : ends[k]], seed))
+    return h
 
 
 def hash_words(buf: np.ndarray, breaks: np.ndarray, cls: np.ndarray, cut: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -69,20 +81,14 @@ def hash_words(buf: np.ndarray, breaks: np.ndarray, cls: np.ndarray, cut: int =
     last[-1], last[:-1] = True, ~word[1:]
     last[breaks[breaks > 0] - 1] = True
     ends = np.flatnonzero(word & last) + 1
-    power, inverse = _power_tables(n)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_VALUES[buf] * power, out=sums[1:])
     if cut:
         ends = np.minimum(ends, starts + cut)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64)), starts, ends
+    return _hash(_LOWER[buf], starts, ends, _WORDS), starts, ends
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Case-sensitive hashes of given spans of buf, which holds CHUNK bytes or one longer text."""
-    power, inverse = _power_tables(len(buf))
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_EXACT[buf] * power, out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[np.minimum(starts, max(len(buf) - 1, 0))] + (ends - starts).astype(np.uint64))
+    """Case-sensitive hashes of given spans of buf; they hold in this process only."""
+    return _hash(buf, starts, ends, _SPANS)
 
 
 def take_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -40,3 +40,25 @@ def test_spans_and_ranges():
     h = kernel.span_hashes(buf, np.array([0, 3, 6]), np.array([3, 6, 9]))
     assert h[0] == h[2] != h[1]
     assert kernel.take_ranges(np.array([5, 0]), np.array([2, 3])).tolist() == [5, 6, 0, 1, 2]
+
+
+def twins(n, a="a", b="b"):
+    """Two complementary Thue-Morse words, equal under any polynomial hash modulo a power of two once they are long."""
+    return tuple("".join(y if i.bit_count() & 1 else x for i in range(n)) for x, y in ((a, b), (b, a)))
+
+
+@pytest.mark.parametrize("n", [7, 8, 9, 64, 256, 257, 1024, 2048, 4096])
+def test_hashes_of_twin_words_differ(n):
+    x, y = twins(n)
+    assert kernel.word_hash(x) != kernel.word_hash(y) and kernel.word_hash(x) == kernel.word_hash(x.upper())
+    buf = np.frombuffer((x + y + x).encode(), np.uint8)
+    h = kernel.span_hashes(buf, np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n]))
+    assert h[0] == h[2] != h[1]
+    a, b = (s[o[0] : o[1]].tolist() for t in (x, y) for _, s, o in kernel.shingle_sets(pa.array([t])))
+    assert not set(a) & set(b)
+
+
+def test_words_that_differ_in_any_byte_or_length():
+    words = ["x" * n for n in range(1, 600)] + ["x" * k + "y" + "x" * (399 - k) for k in range(400)] + ["x" * k + "y" + "x" * (39 - k) for k in range(40)]
+    h = [h.tolist() for _, h, _ in kernel.text_words(pa.array([" ".join(words)]), kernel.NON_SPACE)][0]
+    assert len(h) == len(set(words)) == len(set(h))

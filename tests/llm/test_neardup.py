@@ -3,6 +3,7 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import functions as F
+from test_kernel import twins
 
 from sediment.llm import neardup
 
@@ -105,3 +106,9 @@ def test_rows_that_share_an_id_but_not_a_text(spark):
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted((r for r, w in zip(rows, want) if w[3] or r[0] is None), key=str)
     unique = spark.createDataFrame([(1, base, "x", 1), (7, base + " end", "x", 1), (7, alone, "x", 1)], SCHEMA)
     assert {r.text for r in corpus_pipeline.drop_near_copies(spark, unique, None).collect()} == {base, alone}
+
+
+def test_twin_words_make_no_link(spark):
+    texts = [t for n in (1024, 2048) for t in twins(n)]
+    got = neardup.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k for k in range(4)}

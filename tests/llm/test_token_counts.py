@@ -1,6 +1,7 @@
 import random
 
 import pyarrow as pa
+from test_kernel import twins
 
 from sediment.llm.token_counts import Counter, token_counts, tokenizer_path
 
@@ -13,6 +14,7 @@ def test_counts_are_the_librarys():
     parts = [*"ab'sdltrevm  \n\t\r.,!12 　éñß中文😀½²́_-", "'s", "'ll", " 't", "''re", "'ve", "<|endoftext|>", "<|endof", "  ", "\x85", "\x1c", "​", "٣", "ǅ"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(4000)]
     texts += ["", "'", " ", "  ", "don't'll", "<|endoftext|>", " <|endoftext|> x", "a" * 3000, " " * 3000]
+    texts += [t for n in (1024, 2048) for a, b in ("ab", "xe", "01", "th") for t in twins(n, a, b)]
     texts += parquet.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist()
     want = [len(e) for e in library.encode_batch(texts, add_special_tokens=False)]
     counter = Counter(tokenizer_path())

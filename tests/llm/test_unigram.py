@@ -3,6 +3,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import pytest
+from test_kernel import twins
 
 from sediment.llm.unigram import Encoder, Vocabulary, double_array, encode, load_vocabulary, model_path, search_long
 
@@ -145,3 +146,10 @@ def test_frame(spark):
     assert len(got) == len(rows) and all(r.round_trip for r in got)
     assert sorted(r.text for r in got) == sorted((t or "").replace("▁", " ") for _, t, _ in rows)
     assert all(r.n_pieces == len(r.piece_ids) for r in got) and encode(spark, df.limit(0)).count() == 0
+
+
+def test_twin_words_keep_their_own_text(spark):
+    texts = [t for n in (1024, 2048) for t in twins(n)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = encode(spark, df, decoded=True).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == texts and all(r.round_trip for r in rows)
