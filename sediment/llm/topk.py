@@ -1,13 +1,14 @@
 """Exact top-k inner products over norm-sorted vectors with SVD-rotated partial sums.
 
-Vectors are scaled to integers and sorted by descending length into blocks. Every vector is also rotated by
-the right singular vectors of the whole set, so that its first HEAD coordinates carry most of any inner
-product; what the others can add is bounded by Cauchy-Schwarz on their lengths. Against a query's
-k-th best score so far, a block falls by the product of lengths, and a vector by its partial sum and
-the residual bound. What is left is scored on the integers, so results are exact.
-
-Queries meet blocks of candidates in blocks of their own. Each pair of blocks is one row of two packed
-matrices; a task holds one candidate block and one query block at a time.
+Vectors are scaled to integers and sorted by descending length into stripes. Every vector is also rotated by
+the first right singular vectors of the whole set, so that HEAD coordinates carry most of any inner
+product; what the others can add is bounded by Cauchy-Schwarz on their lengths. The longest vectors give
+every query a first k-th best score, its floor. Against it a stripe falls by the product of lengths, and a
+vector by its partial sum and the residual bound. What is left is scored on the integers, so results are exact.
+
+Queries are packed by the length that a candidate needs to reach their floors, so a pack meets the stripes
+down to that length and no others. A tile is one stripe and up to TILE packs: the stripe is shipped
+once for a tile, each pack once for a stripe, and a task holds one stripe and one Arrow batch of packs.
 """
 
 from __future__ import annotations
@@ -19,19 +20,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sediment.llm.frames import Scratch, batch, ddl, groups, prepare, read
+from sediment.llm.frames import Scratch, batch, ddl, prepare, read
 
 K, SCALE, EVERY = 5, 256.0, 50
-#: Vectors in a block of candidates and of queries.
-BLOCK, QUERIES = 2048, 256
-#: Packed blocks in an Arrow batch, and tasks that sum the tasks' matrices.
-BATCH_BLOCKS, SUMS = 16, 4
-#: Rotated coordinates that the partial sums take.
-HEAD = 16
+#: Vectors of a stripe at least and at most, of a pack of queries, and bytes of either; packs of a tile.
+LEAST, STRIPE, PACK, BYTES, TILE = 1024, 16384, 256, 4 << 20, 64
+#: Longest vectors, and bytes of them, that every query is held against first.
+SEEDS, SEED_BYTES = 1024, 2 << 20
+#: Numbers of components, the most frequent ones, that get a rotation and seeds, and the most components rotated. Others do without.
+DIMS, ROTATED = 16, 512
+#: Rotated coordinates that the partial sums take, and tasks that sum the tasks' matrices.
+HEAD, SUMS = 16, 4
 #: Below this product of lengths an inner product of integers is exact in double precision.
 EXACT = float(1 << 52)
 
-_PACKED = {"dim": pa.int64(), "part": pa.int64(), "top": pa.float64(), "n": pa.int64(), "ids": pa.binary(), "ints": pa.binary()}
+_MATRIX = {"dim": pa.int64(), "matrix": pa.binary()}
+
+
+def _add(sums: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for dim, s in sums.items():
+        yield batch(_MATRIX, dim=[dim], matrix=[s.tobytes()])
 
 
 def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,60 +49,121 @@ def _gram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for dim, _, x in _by_dim(b):
             y = x.astype(np.float64)
             sums[dim] = sums.get(dim, 0) + y.T @ y
-    for dim, s in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["dim", "gram"])
+    yield from _add(sums)
 
 
-def _sum_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The sum of the matrices of a task, for each number of components."""
+def _sum(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
-        for dim, gram in zip(b.column("dim").to_pylist(), b.column("gram").to_pylist(), strict=True):
-            sums[dim] = sums.get(dim, 0) + np.frombuffer(gram, np.float64)
-    for dim, s in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int64()), pa.array([s.tobytes()], pa.binary())], names=["dim", "gram"])
+        for dim, m in zip(b.column("dim").to_pylist(), b.column("matrix").to_pylist(), strict=True):
+            sums[dim] = sums.get(dim, 0) + np.frombuffer(m, np.float64).reshape(dim, dim)
+    return sums
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from _add(_sum(batches))
+
+
+def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first HEAD singular vectors of each matrix, as columns."""
+    yield from _add({dim: np.linalg.eigh(s)[1][:, ::-1][:, :HEAD].copy() for dim, s in _sum(batches).items()})
 
 
 def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(components, rows, integer matrix) of a batch of (dim, v) rows."""
     dims = b.column("dim").to_numpy()
-    lists = b.column("v")
-    values, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(dims)])
+    values, at = b.column("v").flatten().to_numpy(), np.concatenate([[0], np.cumsum(dims)])
     for dim in np.unique(dims).tolist():
         rows = np.flatnonzero(dims == dim)
         yield dim, rows, values[(at[rows][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
 
 
-def _pack(size: int):
-    """Blocks of at most `size` vectors from rows sorted by components, part and descending length."""
+def _narrow(x: np.ndarray) -> bytes:
+    """Integers in as few bytes each as they allow."""
+    for kind in (np.int16, np.int32):
+        info = np.iinfo(kind)
+        if not x.size or info.min <= x.min() and x.max() <= info.max:
+            return x.astype(kind).tobytes()
+    return x.astype(np.int64).tobytes()
+
+
+#: number: of a pack or stripe, longest (or least needing) first within a task's share.
+_PACKED = {"dim": pa.int64(), "number": pa.int64(), "n": pa.int64(), "bound": pa.float64(), "ids": pa.binary(), "rows": pa.binary(), "floors": pa.binary(), "ints": pa.binary()}
+
+
+def _pack(size: int, bound: str):
+    """Packs of at most `size` vectors and BYTES bytes, from rows sorted by components; bound: the first row's value of a column.
+
+    Rows are taken as they come, so a task holds one pack and one Arrow batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in groups(batches, "dim", "part"):
-            for lo in range(0, g.num_rows, size):
-                b = g.slice(lo, size)
-                dim, _, x = next(_by_dim(b))
-                yield batch(_PACKED, dim=[dim], part=[g.column("part")[0].as_py()], top=[float(b.column("length").to_numpy().max())], n=[b.num_rows], ids=[b.column("vec_id").to_numpy().tobytes()], ints=[x.astype(np.int64).tobytes()])
+        held: list[pa.RecordBatch] = []
+        n, made, now, room = 0, 0, None, 0
+
+        def done() -> pa.RecordBatch:
+            b = pa.concat_batches(held)
+            x = b.column("v").flatten().to_numpy().reshape(-1, now)
+            text = {c: [b.column(c).to_numpy().tobytes()] for c in ("rows", "floors") if c in b.schema.names}
+            number = (b.column("part")[0].as_py() << 32) + made
+            return batch(_PACKED, **{"rows": [None], "floors": [None], **text}, dim=[now], number=[number], n=[b.num_rows], bound=[b.column(bound)[0].as_py()], ids=[b.column("vec_id").to_numpy().tobytes()], ints=[_narrow(x)])
+
+        for b in batches:
+            dims = b.column("dim").to_numpy()
+            cuts = [0, *(np.flatnonzero(dims[1:] != dims[:-1]) + 1).tolist(), len(dims)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if held and dims[lo] != now:
+                    yield done()
+                    held, n, made = [], 0, made + 1
+                now = int(dims[lo])
+                room = max(1, min(size, BYTES // (8 * now)))
+                while lo < hi:
+                    take = min(hi - lo, room - n)
+                    held.append(b.slice(lo, take))
+                    lo, n = lo + take, n + take
+                    if n == room:
+                        yield done()
+                        held, n, made = [], 0, made + 1
+        if held:
+            yield done()
 
     return run
 
 
 class _Block:
-    def __init__(self, dim: int, ids: bytes, ints: bytes, rotation: np.ndarray):
-        self.ids, self.ints = np.frombuffer(ids, np.int64), np.frombuffer(ints, np.int64).reshape(-1, dim)
-        self.real = self.ints.astype(np.float64)
+    """A packed matrix with its lengths, partial coordinates and residual lengths."""
+
+    def __init__(self, dim: int, ids: bytes, ints: bytes, turns: dict[int, np.ndarray]):
+        self.ids = np.frombuffer(ids, np.int64)
+        kind = {2: np.int16, 4: np.int32, 8: np.int64}[len(ints) // (dim * len(self.ids))]
+        self._of(np.frombuffer(ints, kind).reshape(-1, dim).astype(np.int64), turns.get(dim))
+
+    def _of(self, ints: np.ndarray, turn: np.ndarray | None) -> None:
+        self.ints, self.real = ints, ints.astype(np.float64)
         self.length = np.sqrt((self.real**2).sum(axis=1))
-        turned = self.real @ rotation
-        self.head, self.tail = turned[:, :HEAD], np.sqrt((turned[:, HEAD:] ** 2).sum(axis=1))
+        self.head = self.real[:, :HEAD] if turn is None else self.real @ turn
+        rest = self.real[:, HEAD:] if turn is None else self.real - self.head @ turn.T
+        self.tail = np.sqrt((rest**2).sum(axis=1))
+
+    @classmethod
+    def of(cls, ids: np.ndarray, ints: np.ndarray, turn: np.ndarray | None) -> _Block:
+        out = cls.__new__(cls)
+        out.ids = ids
+        out._of(ints, turn)
+        return out
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    return np.lexsort((ids, -scores))[:k]
+def _slack(most: float) -> float:
+    """What rounding may add to a bound on inner products of vectors whose lengths have this product."""
+    return 1e-9 * most + 1e-6
 
 
 def _meet(q: _Block, c: _Block, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores): for each query its at most k best of the block that may reach its floor."""
+    """(query, ids, scores): for each query its at most k best of the candidates that may reach its floor."""
     most = float(q.length.max(initial=0.0) * c.length.max(initial=0.0))
-    slack = 1e-9 * most + 1e-6
+    slack = _slack(most)
     live = np.flatnonzero(q.length * c.length.max(initial=0.0) + slack >= floor)
     if not len(live):
         return
@@ -104,59 +173,62 @@ def _meet(q: _Block, c: _Block, floor: np.ndarray, k: int) -> Iterator[tuple[int
         if not len(near):
             continue
         score = (c.real[near] @ q.real[i]).astype(np.int64) if most < EXACT else c.ints[near] @ q.ints[i]
-        top = _best(score, c.ids[near], k)
+        top = np.lexsort((c.ids[near], -score))[:k]
         top = top[score[top] >= floor[i]]
         if len(top):
             yield i, c.ids[near][top], score[top]
 
 
-_FOUND = {"dim": pa.int64(), "q_part": pa.int64(), "q_row": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
+_ASKED = {"row": pa.int64(), "vec_id": pa.int64(), "dim": pa.int64(), "v": pa.list_(pa.int64()), "floors": pa.float64(), "need": pa.float64()}
 
 
-def _score(rotations, k: int, first: bool):
-    """Scores pairs of blocks: those of one query block and stripe in a row, longest candidates first.
-
-    Rows are taken as they come, so a task holds one query block and one Arrow batch of candidate blocks.
-    """
+def _floors(shared, k: int):
+    """Each query with its k-th best score among the longest vectors, and the length that a candidate needs for that."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn, now, q, floor, held = rotations.value, None, None, None, []
-
-        def found() -> pa.RecordBatch:
-            n = [len(h[0]) for h in held]
-            return batch(_FOUND, dim=[now[0]] * sum(n), q_part=[now[1]] * sum(n), q_row=np.repeat(np.arange(len(n)), n), query_id=np.repeat(q.ids, n), vec_id=np.concatenate([h[0] for h in held]), score=np.concatenate([h[1] for h in held]))
-
+        turns, seeds = shared.value
+        longest = {dim: _Block(dim, ids, ints, turns) for dim, (ids, ints) in seeds.items()}
         for b in batches:
-            keys = list(zip(*(b.column(c).to_pylist() for c in ("dim", "q_part", "stripe")), strict=True))
-            for row, key in enumerate(keys):
-                if key != now:
-                    if now:
-                        yield found()
-                    now = key
-                    q = _Block(key[0], b.column("q_ids")[row].as_py(), b.column("q_ints")[row].as_py(), turn[key[0]])
-                    floor = np.full(len(q.ids), -np.inf)
-                    if not first and (f := b.column("floors")[row].as_py()) is not None:
-                        floor = np.frombuffer(f, np.float64).copy()
-                    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(q.ids)
-                c = _Block(key[0], b.column("ids")[row].as_py(), b.column("ints")[row].as_py(), turn[key[0]])
-                for i, got, score in _meet(q, c, floor, k):
-                    got, score = np.concatenate([held[i][0], got]), np.concatenate([held[i][1], score])
-                    top = _best(score, got, k)
-                    held[i] = (got[top], score[top])
-                    if len(top) == k:
-                        floor[i] = max(floor[i], float(score[top[-1]]))
-        if now:
-            yield found()
+            floor, need = np.full(b.num_rows, -np.inf), np.full(b.num_rows, -np.inf)
+            ids, length = b.column("vec_id").to_numpy(), b.column("length").to_numpy()
+            for dim, rows, x in _by_dim(b):
+                if dim not in longest:
+                    continue
+                c = longest[dim]
+                for lo in range(0, len(rows), PACK):
+                    at = rows[lo : lo + PACK]
+                    q = _Block.of(ids[at], x[lo : lo + PACK], turns.get(dim))
+                    for i, _, score in _meet(q, c, floor[at], k):
+                        if len(score) == k:
+                            floor[at[i]] = float(score[-1])
+            some = np.isfinite(floor) & (length > 0)
+            need[some] = (floor[some] - _slack(1.0)) / length[some] - 1e-6 * np.abs(floor[some] / length[some]) - 1e-6
+            yield batch(_ASKED, row=b.column("row"), vec_id=ids, dim=b.column("dim"), v=b.column("v"), floors=floor, need=need)
 
     return run
 
 
-def _floors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first k-th best score of each query of a block, -inf where none is known; rows are sorted by block."""
-    for g in groups(batches, "dim", "q_part"):
-        floor = np.full(g.column("n")[0].as_py(), -np.inf)
-        floor[g.column("q_row").to_numpy()] = g.column("low").to_numpy()
-        yield batch({"dim": pa.int64(), "q_part": pa.int64(), "floors": pa.binary()}, dim=g.column("dim").slice(0, 1), q_part=g.column("q_part").slice(0, 1), floors=[floor.tobytes()])
+_FOUND = {"row": pa.int64(), "query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64()}
+
+
+def _score(shared, k: int):
+    """The k best of each stripe for each query, from tiles that begin with their stripe (row ids null)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns, c = shared.value[0], None
+        for b in batches:
+            for dim, ids, rows, floors, ints in zip(*(b.column(x).to_pylist() for x in ("dim", "ids", "rows", "floors", "ints")), strict=True):
+                block = _Block(dim, ids, ints, turns)
+                if rows is None:
+                    c = block
+                    continue
+                number = np.frombuffer(rows, np.int64)
+                got = list(_meet(block, c, np.frombuffer(floors, np.float64), k))
+                if got:
+                    at = np.repeat([i for i, _, _ in got], [len(x) for _, x, _ in got])
+                    yield batch(_FOUND, row=number[at], query_id=block.ids[at], vec_id=np.concatenate([x for _, x, _ in got]), score=np.concatenate([x for _, _, x in got]))
+
+    return run
 
 
 def integers(vectors: DataFrame) -> DataFrame:
@@ -170,10 +242,24 @@ def integers(vectors: DataFrame) -> DataFrame:
     return taking.select("vec_id", F.size("v").cast("bigint").alias("dim"), "v", length.alias("length"))
 
 
-def _blocks(rows: DataFrame, size: int, tasks: int) -> DataFrame:
-    """rows packed into blocks numbered by descending length, over all tasks of a range partitioning by length."""
-    dealt = rows.repartitionByRange(tasks, F.col("dim"), F.desc("length"), "vec_id").withColumn("part", F.spark_partition_id().cast("bigint"))
-    return dealt.sortWithinPartitions("dim", F.desc("length"), "vec_id").mapInArrow(_pack(size), ddl(_PACKED))
+def _packs(rows: DataFrame, size: int, tasks: int, order: list, bound: str) -> DataFrame:
+    """rows packed in order; numbers differ even where rows are equal."""
+    dealt = rows.repartitionByRange(tasks, "dim", *order).withColumn("part", F.spark_partition_id().cast("bigint"))
+    return dealt.sortWithinPartitions("dim", *order).mapInArrow(_pack(size, bound), ddl(_PACKED))
+
+
+def _prepared(spark: SparkSession, rows: DataFrame, cand: DataFrame):
+    """A broadcast of (rotations, longest vectors) by number of components, for the DIMS most frequent ones."""
+    dims = [r.dim for r in rows.groupBy("dim").count().orderBy(F.desc("count"), "dim").limit(DIMS).collect()]
+    grams = rows.where(F.col("dim").isin([d for d in dims if d <= ROTATED])).select("dim", "v").mapInArrow(_gram, ddl(_MATRIX))
+    turns = grams.repartition(SUMS).mapInArrow(_sums, ddl(_MATRIX)).repartition("dim").mapInArrow(_turns, ddl(_MATRIX))
+    turns = {r.dim: np.frombuffer(r.matrix, np.float64).reshape(r.dim, -1) for r in turns.collect()}  # at most DIMS small matrices
+    first = cand.where(F.col("dim").isin(dims)).groupBy("dim").agg(F.min(F.struct("number")).alias("x")).select("dim", "x.number")
+    seeds = {}
+    for r in cand.join(F.broadcast(first), ["dim", "number"]).select("dim", "n", "ids", "ints").collect():  # at most DIMS stripes of at most BYTES
+        n = max(1, min(r.n, SEEDS, SEED_BYTES // (8 * r.dim)))
+        seeds[r.dim] = (bytes(r.ids[: 8 * n]), bytes(r.ints[: n * (len(r.ints) // r.n)]))
+    return spark.sparkContext.broadcast((turns, seeds))
 
 
 def top_k(spark: SparkSession, vectors: DataFrame, *, k: int = K, every: int = EVERY) -> DataFrame:
@@ -181,42 +267,35 @@ def top_k(spark: SparkSession, vectors: DataFrame, *, k: int = K, every: int = E
 
     Queries are the rows whose vec_id is divisible by `every`; candidates all rows but those of the query's own
     vec_id. Vectors null, empty, without vec_id, or holding a null or non-finite component take no part;
-    vectors of different numbers of components do not meet. A repeated vec_id is a row each time.
+    vectors of different numbers of components do not meet. A repeated vec_id is a row each time, as a query with
+    ranks of its own and as a candidate. Other columns are ignored; an empty table gives no rows.
     """
     prepare(spark)
     s = Scratch(spark)
     rows = s.save(integers(vectors))
-    grams = rows.select("dim", "v").mapInArrow(_gram, "dim bigint, gram binary").repartition(SUMS)
-    sums: dict[int, np.ndarray] = {}
-    for r in grams.mapInArrow(_sum_grams, "dim bigint, gram binary").collect():  # SUMS small matrices for each length
-        sums[r.dim] = sums.get(r.dim, 0) + np.frombuffer(r.gram, np.float64).reshape(r.dim, r.dim)
-    rotations = spark.sparkContext.broadcast({d: np.linalg.eigh(g)[1][:, ::-1].copy() for d, g in sums.items()})
-
     n = rows.count()
-    cand = s.save(_blocks(rows, BLOCK, 1 + n // (4 * BLOCK)))
-    cand = cand.withColumn("block", F.xxhash64("ids"))
-    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
-    queries = _blocks(asked, QUERIES, 1 + n // every // (4 * QUERIES))
-    queries = s.save(queries.select("dim", F.xxhash64("ids").alias("q_part"), F.col("n").alias("q_n"), F.col("ids").alias("q_ids"), F.col("ints").alias("q_ints")))
-
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_BLOCKS))
-    keys = ["dim", "q_part", "stripe"]
-    longest = cand.groupBy("dim").agg(F.max(F.struct("top", "block")).alias("x")).select("dim", F.col("x.block").alias("block"))
-    seeds = cand.join(longest, ["dim", "block"]).join(queries, "dim").withColumn("stripe", F.lit(0).cast("bigint"))
-    dealt = seeds.repartition(*keys).sortWithinPartitions(*keys)
-    seen = dealt.mapInArrow(_score(rotations, k, True), ddl(_FOUND))
-    low = seen.groupBy("dim", "q_part", "q_row").agg(F.min("score").cast("double").alias("low"), F.count("*").alias("many"))
-    low = low.where(F.col("many") >= k).join(queries.select("dim", "q_part", F.col("q_n").alias("n")), ["dim", "q_part"])
-    floors = s.save(low.repartition("dim", "q_part").sortWithinPartitions("dim", "q_part").mapInArrow(_floors, "dim bigint, q_part bigint, floors binary"))
-
-    stripes = max(1, min(64, n // (4 * BLOCK)))
-    striped = cand.withColumn("stripe", F.pmod("block", F.lit(stripes).cast("bigint")))
-    asked = queries.join(floors, ["dim", "q_part"], "left").withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(stripes - 1).cast("bigint"))))
-    pairs = striped.join(asked, ["dim", "stripe"]).repartition(*keys).sortWithinPartitions(*keys, F.desc("top"))
-    found = s.save(pairs.mapInArrow(_score(rotations, k, False), ddl(_FOUND)))
-    prepare(spark)
+    size = max(LEAST, min(STRIPE, n // (4 * spark.sparkContext.defaultParallelism)))
+    cand = s.save(_packs(rows, size, max(1, n // size), [F.desc("length"), "vec_id"], "length"))
+    shared = _prepared(spark, rows, cand)
+
+    asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("row", F.monotonically_increasing_id())
+    asked = s.save(asked.select("row", "vec_id", "dim", "v", "length").mapInArrow(_floors(shared, k), ddl(_ASKED)))
+    asked = asked.withColumnRenamed("row", "rows")
+    many = asked.count()
+    packs = s.save(_packs(asked, PACK, max(1, many // (4 * PACK)), ["need", "rows"], "need"))
+
+    # which pack meets which stripe: numbers only, those of a number of components sorted in one row
+    stripes = cand.groupBy("dim").agg(F.collect_list(F.struct(F.col("bound").alias("top"), F.col("number").alias("stripe"))).alias("stripes"))
+    meets = packs.select("dim", F.col("number").alias("pack"), "bound").join(stripes, "dim")
+    meets = meets.select("dim", "pack", F.explode(F.expr("filter(stripes, x -> x.top >= bound)")).alias("x")).select("dim", "pack", "x.stripe")
+    meets = s.save(meets.withColumn("tile", F.pmod(F.xxhash64("pack"), F.lit(1 + many // (PACK * TILE)).cast("bigint"))), narrow=True)
+    columns = ["stripe", "tile", "dim", "ids", "rows", "floors", "ints"]
+    left = cand.withColumnRenamed("number", "stripe").join(meets.select("stripe", "tile").distinct(), "stripe").select(*columns)
+    right = packs.withColumnRenamed("number", "pack").join(meets.drop("dim"), "pack").select(*columns)
+    tiles = left.union(right).repartition("stripe", "tile").sortWithinPartitions("stripe", "tile", F.asc_nulls_first("rows"))
+    found = s.save(tiles.mapInArrow(_score(shared, k), ddl(_FOUND)))
     s.sweep(found)
-    rank = Window.partitionBy("dim", "q_part", "q_row").orderBy(F.desc("score"), "vec_id")
+    rank = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -226,12 +305,12 @@ def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP8_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

@@ -19,7 +19,7 @@ def brute(rows, k=5, every=50):
 
 def test_results_are_exact(spark, monkeypatch):
     rng = np.random.default_rng(1)
-    monkeypatch.setattr(topk, "BLOCK", 64)
+    monkeypatch.setattr(topk, "LEAST", 64)
     x = rng.normal(size=(700, 24)) * np.exp(rng.normal(size=(700, 1)))
     x[100:160] = x[100]  # ties
     x[200] = 0
@@ -31,3 +31,22 @@ def test_results_are_exact(spark, monkeypatch):
     assert top_k(spark, df.limit(0)).count() == 0
     sql = duck_rows(topk.OP8_SQL, embeddings=(["vec_id", "embedding"], [(i, v) for i, v in rows[:700]]))
     assert [(q, r, v, s) for q, r, s, v in sql] == brute(rows[:700])
+
+
+def test_repeated_ids_are_rows_each(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    monkeypatch.setattr(topk, "PACK", 32)
+    monkeypatch.setattr(topk, "LEAST", 64)
+    x = rng.integers(-3, 4, (640, 8)) / 4
+    x[:300] = x[0]  # equal rows of one id fill whole packs
+    rows = [(50 if i < 600 else i, [float(f) for f in v]) for i, v in enumerate(x)]
+    got = sorted(map(tuple, top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == brute(rows) and len(got) == 600 * 5 + sum(i % 50 == 0 for i, _ in rows[600:]) * 5
+    sql = duck_rows(topk.OP8_SQL, embeddings=(["vec_id", "embedding"], rows))
+    assert sorted((q, r, v, s) for q, r, s, v in sql) == brute(rows)
+
+
+def test_one_vector_for_all(spark):
+    rows = [(i, [1.0, 2.0]) for i in range(3000)]
+    got = sorted(map(tuple, top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
+    assert got == brute(rows)
