@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.functions.slots import HASHES, SLOTS, key_slots
+from sediment.sources.shared import ship
 
 
 def positions(keys: DataFrame) -> DataFrame:
-    """keys with s0, s1 and s2, the slots of each; a key is hashed once however often it stands."""
-    hashed = keys.select("key").distinct().withColumn("s", key_slots("key"))
-    return keys.join(hashed, "key").select(*keys.columns, *[F.col("s")[k].alias(f"s{k}") for k in range(HASHES)])
+    """keys with s0, s1 and s2, the slots of each row's key; nothing is shuffled."""
+    ship(keys.sparkSession)
+    return keys.withColumn("s", key_slots("key")).select(*keys.columns, *[F.col("s")[k].alias(f"s{k}") for k in range(HASHES)])
 
 
 def filters(entries: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.operators import resolve
+from sediment.operators.history import with_neighbour
 
 #: Runs that a level may hold; a level at its limit is merged into the next, the last one never.
 LEVEL_LIMITS = {0: 4, 1: 8, 2: 16, 3: 32, 4: 64, 5: 128}
@@ -49,8 +50,7 @@ def write_amplification(log: DataFrame, entries: DataFrame, ops: int) -> DataFra
     """
     step = ops * FAN_IN
     last = log.agg(F.max("seq").alias("last"))
-    following = F.lead("seq").over(Window.partitionBy("key").orderBy("seq"))
-    spans = log.select("seq", "op", following.alias("following")).join(F.broadcast(last))
+    spans = with_neighbour(log.select("key", "seq", "op"), F.col("seq"), "following", after=True).join(F.broadcast(last))
     ends = F.least(F.coalesce("following", F.col("last") + 1), F.floor(F.col("last") / step) * step + 1)
     times = F.greatest(F.lit(0), F.floor((ends - 1) / step) - F.floor((F.col("seq") - 1) / step))
     again = spans.agg(F.coalesce(F.sum(F.when(F.col("op") == "PUT", times)), F.lit(0)).cast("bigint").alias("rewritten"))

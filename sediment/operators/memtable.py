@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sediment.functions.binary import value_bytes
+from sediment.sources.shared import ship
 
 
 def entry_size() -> Column:
@@ -51,5 +52,6 @@ def rotations(log: DataFrame, limit: int) -> DataFrame:
     Where a table ends depends on every overwrite since the last one ended, so the fold takes the log in order
     in one task, which holds one table; the production path bounds batches by their number of operations.
     """
+    ship(log.sparkSession)
     weights = log.select("seq", "key", value_bytes(F.col("value")).alias("weight"))
     return weights.coalesce(1).sortWithinPartitions("seq").mapInArrow(_rotate(limit), "flush bigint, first_seq bigint, last_seq bigint, entries bigint, bytes bigint")

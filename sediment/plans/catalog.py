@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.operators import bloom, compaction, lookup, memtable, oplog, resolve, runs, wal
+from sediment.operators import bloom, compaction, history, lookup, memtable, oplog, resolve, runs, wal
 from sediment.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,7 +121,7 @@ PREVIOUS = f"{O}, h AS (SELECT *, lag(op) OVER (PARTITION BY key ORDER BY seq) A
 
 
 def _history(spark, sf_dir):
-    return _log(spark, sf_dir).withColumn("before", F.lag("op").over(Window.partitionBy("key").orderBy("seq")))
+    return history.with_neighbour(_log(spark, sf_dir), F.col("op"), "before")
 
 
 @query(
@@ -152,7 +152,23 @@ def memtable_size(spark, sf_dir):
     return memtable.sizes(_entries(spark, sf_dir))
 
 
-@query("memtable_rotation_exact")
+@query(
+    "memtable_rotation_exact",
+    f"""WITH RECURSIVE {O},
+h AS (SELECT seq, length(key) AS k, coalesce(octet_length(encode(value)), 0) AS w, lag(seq) OVER (PARTITION BY key ORDER BY seq) AS before,
+      lag(coalesce(octet_length(encode(value)), 0)) OVER (PARTITION BY key ORDER BY seq) AS old FROM o),
+t AS (
+  SELECT -1::BIGINT AS flush, 0::BIGINT AS first_seq, 0::BIGINT AS last_seq, 0::BIGINT AS entries, 0::BIGINT AS bytes
+  UNION ALL
+  SELECT flush, first_seq, seq, entries, bytes FROM (
+    SELECT *, row_number() OVER (ORDER BY bytes > {ROTATION} DESC, CASE WHEN bytes > {ROTATION} THEN seq ELSE -seq END) AS pick FROM (
+      SELECT t.flush + 1 AS flush, t.last_seq + 1 AS first_seq, h.seq,
+             (sum(CASE WHEN before > t.last_seq THEN 0 ELSE 1 END) OVER (ORDER BY h.seq))::BIGINT AS entries,
+             (sum(w + CASE WHEN before > t.last_seq THEN -old ELSE k END) OVER (ORDER BY h.seq))::BIGINT AS bytes
+      FROM t JOIN h ON h.seq > t.last_seq))
+  WHERE pick = 1)
+SELECT flush, first_seq, last_seq, entries, bytes FROM t WHERE flush >= 0""",
+)
 def memtable_rotation_exact(spark, sf_dir):
     return memtable.rotations(_log(spark, sf_dir), ROTATION)
 
@@ -345,7 +361,19 @@ def wal_retention(spark, sf_dir):
     return wal.retained(wal.segments(wal.segmented(_records(spark, sf_dir))))
 
 
-@query("wal_crc")
+def _bytes(x: str, size: int) -> str:
+    return "[" + ", ".join(f"(({x}) >> {8 * k}) & 255" for k in range(size)) + "]"
+
+
+# CRC32 with a table that eight steps of its polynomial give for each byte, over the entry's bytes and the LSN's lowest
+_CRC = f"""z AS (SELECT list(c ORDER BY n) AS t FROM (
+  SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, i: xor(c >> 1, CASE WHEN c & 1 = 1 THEN {0xEDB88320} ELSE 0 END)) AS c FROM range(256) r(n))),
+d AS (SELECT lsn, [0, 0, 0, 0, 0, 0, 0, 0, CASE op WHEN 'PUT' THEN 0 WHEN 'TOMBSTONE' THEN 1 ELSE 2 END::BIGINT]
+  || {_bytes("length(key)", 4)} || list_transform(string_split(key, ''), lambda x: ascii(x)::BIGINT) || {_bytes("length(coalesce(value, ''))", 4)}
+  || list_transform(list_filter(string_split(coalesce(value, ''), ''), lambda x: x <> ''), lambda x: ascii(x)::BIGINT) || [lsn & 255] AS b FROM w)"""
+
+
+@query("wal_crc", f"WITH {LOG}, {_CRC} SELECT lsn, xor(list_reduce(list_prepend({2**32 - 1}, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), {2**32 - 1})::BIGINT AS crc FROM d, z")
 def wal_crc(spark, sf_dir):
     return wal.checksums(_records(spark, sf_dir))
 

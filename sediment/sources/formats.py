@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from sediment.functions.binary import COMMANDS
 from sediment.functions.slots import SLOTS, slots
+from sediment.sources.shared import ship
 
 NAMES = {v: k for k, v in COMMANDS.items()}
 RUN_SCHEMA = "path string, key string, ts bigint, op string, value binary"
@@ -122,6 +123,17 @@ def encode_run(entries: Iterable[Entry]) -> bytes:
     return struct.pack("<qq", 8 + SLOTS, SLOTS) + filled.tobytes() + struct.pack("<q", len(packed)) + packed + b"".join(frames)
 
 
+def decode_filter(data: bytes) -> np.ndarray:
+    """The set slots of a run file's filter, ascending."""
+    try:
+        size, n = struct.unpack_from("<qq", data)
+    except struct.error as e:
+        raise FormatError(str(e)) from e
+    if size != 8 + n or n < 0 or len(data) < 16 + n:
+        raise FormatError("a filter is cut short")
+    return np.flatnonzero(np.frombuffer(data, np.uint8, n, 16))
+
+
 def decode_run(data: bytes) -> list[Entry]:
     """All entries of a run file, in file order."""
     try:
@@ -194,14 +206,31 @@ def _logs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of all run files under a path; a damaged file is an error."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_runs, RUN_SCHEMA)
+def _health(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        got = [decode_log(x) for x in b.column("content").to_pylist()]
+        damaged = [left > 0 for _, left in got]
+        yield pa.RecordBatch.from_arrays([b.column("path"), pa.array([len(r) for r, _ in got], pa.int64()), pa.array([n for _, n in got], pa.int64()), pa.array(damaged, pa.bool_())], names=["path", "records", "bytes_left", "damaged"])
+
+
+def _files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    ship(spark)
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def read_runs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The entries of all run files under a path; a damaged file is an error. A file must fit in a task: larger ones are read by position, see datasource."""
+    return _files(spark, path).mapInArrow(_runs, RUN_SCHEMA)
+
+
+def read_logs(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The records of all log files under a path, each up to its first damaged record; see log_health."""
+    return _files(spark, path).mapInArrow(_logs, LOG_SCHEMA)
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all log files under a path, each up to its first damaged record."""
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_logs, LOG_SCHEMA)
+def log_health(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, records, bytes_left, damaged) of all log files under a path: what reading gives, and what it leaves unread."""
+    return _files(spark, path).mapInArrow(_health, "path string, records bigint, bytes_left bigint, damaged boolean")
 
 
 def _write(folder: str):
@@ -243,6 +272,7 @@ def write_runs(entries: DataFrame, folder: str) -> DataFrame:
     """
     from pyarrow import fs
 
+    ship(entries.sparkSession)
     uri = folder if "://" in folder else f"file://{folder}"
     files, base = fs.FileSystem.from_uri(uri)
     files.create_dir(base, recursive=True)
