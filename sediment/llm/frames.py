@@ -2,21 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
-import os
-import shutil
-import tempfile
-import uuid
-import zipfile
 from collections.abc import Iterator
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sediment.sources.shared import shared_dir, ship
+
 #: Rows in an Arrow batch: with texts of a few KB a batch is a few MB.
 BATCH_ROWS = 1000
 
@@ -28,37 +23,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> None:
     """Make this package importable on the executors and keep Arrow batches of texts small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    context = spark.sparkContext
-    if getattr(context, "_sediment_shipped", False):
-        return
-    package = Path(__file__).resolve().parents[1]
-    folder = tempfile.mkdtemp(prefix="sediment-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    archive = os.path.join(folder, "sediment_package.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for f in sorted(package.rglob("*.py")):
-            out.write(f, f.relative_to(package.parent))
-    context.addPyFile(archive)
-    context._sediment_shipped = True
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """A fresh folder in the shared place the cluster names; a local one only where none is named."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = getattr(spark.sparkContext, "_sediment_scratch", None)
-        if not base:
-            base = tempfile.mkdtemp(prefix="sediment-scratch-")
-            atexit.register(shutil.rmtree, base, ignore_errors=True)
-            spark.sparkContext._sediment_scratch = base
-    return f"{base.rstrip('/')}/sediment-{uuid.uuid4().hex}"
+    ship(spark)
 
 
 class Scratch:
     """Intermediate tables of one operator run, written to the shared folder so that lost executors lose nothing."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.base, self.n, self.tables = spark, scratch_dir(spark), 0, []
+        self.spark, self.base, self.n, self.tables = spark, shared_dir(spark, "sediment"), 0, []
 
     def save(self, df: DataFrame, *, narrow: bool = False) -> DataFrame:
         """df as a written table. narrow: of short rows, for which two tasks a core are enough after any shuffle."""
