@@ -5,10 +5,15 @@ a second document sets it again. Both merge by bit operations, so each task fill
 merge by segment. A key all of whose bits are in the second filter is a suspected repeat; a second scan
 sends only those to the shuffle, where documents are counted on the keys themselves. A full filter lets
 more lines through to that count and changes no result.
+
+Texts stay where they are: the confirmed repeats, as 128-bit hashes seeded at random, go to the tasks that cut the lines.
+If there are more than TOLD of them, only documents that hold a suspected repeat are shuffled to their lists instead.
 """
 
 from __future__ import annotations
 
+import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sediment.llm.frames import Scratch, batch, ddl, prepare, read, source_stats_bytes
+from sediment.llm.frames import Scratch, batch, ddl, prepare, read
 from sediment.llm.kernel import U
 
 #: Bits that a key sets.
 HASHES = 4
-#: A filter has a bit for so many bytes of input, within the bounds; the upper one is 256 MB in each process.
-BYTES_A_BIT, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 31
+#: A filter has a bit for so many bytes of input, within the bounds; at the upper one a pair is 256 MB in each process.
+BYTES_A_BIT, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 30
 #: Bytes of filter in one row of the merge.
 SEGMENT = 1 << 16
+#: Repeated keys that are told to all tasks, 24 bytes each.
+TOLD = 1 << 21
 WHITE = b" \t\n\x0b\x0c\r"
 
 
@@ -111,6 +118,11 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SUSPECTS = {"key": pa.binary(), "doc_id": pa.int64()}
 
 
+def _suspected(twice: np.ndarray, n_bits: int, keys: list[bytes]) -> np.ndarray:
+    at = _bits(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), n_bits)
+    return ((twice[at >> 3] >> (at & 7)) & 1).all(axis=1)
+
+
 def _suspects(shared, n_bits: int, least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         twice = np.frombuffer(shared.value, np.uint8)
@@ -122,69 +134,141 @@ def _suspects(shared, n_bits: int, least: int):
                         ids.append(i)
                         keys.append(k)
             if keys:
-                at = _bits(np.array([xxhash.xxh3_64_intdigest(k) for k in keys], np.uint64), n_bits)
-                keep = np.flatnonzero(((twice[at >> 3] >> (at & 7)) & 1).all(axis=1)).tolist()
+                keep = np.flatnonzero(_suspected(twice, n_bits, keys)).tolist()
                 yield batch(_SUSPECTS, key=[keys[k] for k in keep], doc_id=[ids[k] for k in keep])
 
     return run
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, s: Scratch, least: int, min_docs: int) -> DataFrame:
-    """(doc_id, drop): the keys whose lines each document loses."""
-    texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
-    wanted = max(LEAST_BITS, min(MOST_BITS, source_stats_bytes(texts) // BYTES_A_BIT))
-    n_bits = 1 << (wanted - 1).bit_length()
-    filled = texts.select("text").mapInArrow(_fill(n_bits, least), ddl(_SEGMENTS))
-    merged = s.save(filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, ddl(_SEGMENTS)))
-    twice = bytearray(n_bits // 8)
-    for row in merged.select("segment", "twice").toLocalIterator():  # at most MOST_BITS in all
-        twice[row.segment * SEGMENT : row.segment * SEGMENT + len(row.twice)] = row.twice
-    shared = spark.sparkContext.broadcast(bytes(twice))
-    suspects = s.save(texts.mapInArrow(_suspects(shared, n_bits, least), ddl(_SUSPECTS)))
-    counts = suspects.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
-    repeats = s.save(counts.where(F.col("n") >= min_docs).select("key", "keeper"))
-    lost = suspects.join(repeats, "key").where("doc_id != keeper").select("doc_id", "key")
-    drops = s.save(lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop")))
-    s.sweep(drops)
-    return drops
+def _flag(shared, n_bits: int, least: int, wanted: bool):
+    """The rows that hold a suspected repeat, or those that do not."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        twice = np.frombuffer(shared.value, np.uint8)
+        for b in batches:
+            keys, at = [], []
+            for row, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
+                for k in _keys(t, least) if t and len(t) >= least else ():
+                    keys.append(k)
+                    at.append(row)
+            has = np.zeros(b.num_rows, bool)
+            if keys:
+                has[np.array(at)[_suspected(twice, n_bits, keys)]] = True
+            yield b.filter(pa.array(has == wanted))
+
+    return run
 
 
-def _cut(names: list[str]):
+def _hashed(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts, n_lines, n_dropped = [], [], []
-            for t, drop in zip(b.column("text").cast(pa.binary()).to_pylist(), b.column("_drop").to_pylist(), strict=True):
-                t = t or b""
-                n = t.count(b"\n") + 1
-                if drop:
-                    gone = set(drop)
-                    kept = [x for x in t.split(b"\n") if line_key(x) not in gone]
-                    n_dropped.append(n - len(kept))
-                    texts.append(b"\n".join(kept))
-                else:
-                    n_dropped.append(0)
-                    texts.append(t)
-                n_lines.append(n)
-            new = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "_n_lines": pa.array(n_lines, pa.int64()), "_n_dropped": pa.array(n_dropped, pa.int64())}
+            digests = [xxhash.xxh3_128_digest(k, seed) for k in b.column("key").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), b.column("keeper")], names=["digest", "keeper"])
+
+    return run
+
+
+class Repeats:
+    """Repeated keys by their 128-bit hashes, and the document that keeps each."""
+
+    def __init__(self, seed: int, digests: list[bytes], keepers: np.ndarray):
+        self.seed = seed
+        halves = np.frombuffer(b"".join(digests), np.uint64).reshape(-1, 2)
+        order = np.lexsort((halves[:, 1], halves[:, 0]))
+        self.high, self.low, self.keeper = halves[order, 0], halves[order, 1], keepers[order]
+
+    def gone(self, keys: list[bytes], docs: np.ndarray) -> np.ndarray:
+        """Whether each key is a repeat that its document does not keep."""
+        out = np.zeros(len(keys), bool)
+        if not len(keys) or not len(self.high):
+            return out
+        halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(k, self.seed) for k in keys), np.uint64).reshape(-1, 2)
+        at, left = np.searchsorted(self.high, halves[:, 0]), np.arange(len(keys))
+        while len(left):  # more than one step only where hashes agree in their first half
+            inside = at[left] < len(self.high)
+            left = left[inside]
+            left = left[self.high[at[left]] == halves[left, 0]]
+            hit = left[self.low[at[left]] == halves[left, 1]]
+            out[hit] = self.keeper[at[hit]] != docs[hit]
+            left = left[self.low[at[left]] != halves[left, 1]]
+            at[left] += 1
+        return out
+
+
+def _cut(names: list[str], least: int, shared=None, lists: str | None = None):
+    """Texts without the lines that their document loses: by the repeats told to all, or by the list in a column."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        repeats = shared.value if shared is not None else None
+        for b in batches:
+            texts = [t or b"" for t in b.column("text").cast(pa.binary()).to_pylist()]
+            split = [t.split(b"\n") for t in texts]
+            gone: list[set[int]] = [set() for _ in texts]
+            if repeats is None:
+                for row, drop in enumerate(b.column(lists).to_pylist()):
+                    if drop:
+                        drop = set(drop)
+                        gone[row] = {k for k, x in enumerate(split[row]) if len(x) >= least and line_key(x) in drop}
+            else:
+                keys, at, docs = [], [], []
+                for row, i in enumerate(b.column("doc_id").cast(pa.int64()).to_pylist()):
+                    if i is None or len(texts[row]) < least:
+                        continue
+                    for k, x in enumerate(split[row]):
+                        if len(x) >= least and len(key := line_key(x)) >= least:
+                            keys.append(key)
+                            at.append((row, k))
+                            docs.append(i)
+                for j in np.flatnonzero(repeats.gone(keys, np.array(docs, np.int64))).tolist():
+                    gone[at[j][0]].add(at[j][1])
+            kept = [b"\n".join([x for k, x in enumerate(lines) if k not in g]) if g else t for t, lines, g in zip(texts, split, gone, strict=True)]
+            new = {"text": pa.array(kept, pa.binary()).cast(pa.string()), "_n_lines": pa.array([len(x) for x in split], pa.int64()), "_n_dropped": pa.array([len(g) for g in gone], pa.int64())}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else b.column(c) for c in names], names=names)
 
     return run
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, *, min_chars: int = 40, min_docs: int = 5, told: int = TOLD) -> DataFrame:
     """docs without lines repeated in min_docs documents or more, with _n_lines and _n_dropped added.
 
     A line's key is the line stripped of `[\\x20\\x09-\\x0D]` with A-Z lower-cased; keys of fewer than min_chars
     code points never go. All lines of a repeated key go except in the largest doc_id that holds it. A null
-    text counts as one empty line and comes back empty. Rows that share a doc_id are one document; a row
-    without doc_id is none and keeps its lines. Other columns pass through, whatever their names.
+    text counts as one empty line and comes back empty; a text of any length is cut as a whole. Rows that share a
+    doc_id are one document; a row without doc_id is none and keeps its lines. Other columns pass through, whatever
+    their names; ones named _n_lines or _n_dropped give way to the new ones. An empty table gives an empty one.
     """
     prepare(spark)
     s = Scratch(spark)
-    drops = repeated_lines(spark, docs, s, min_chars, min_docs).withColumnRenamed("doc_id", "_drop_id").withColumnRenamed("drop", "_drop")
-    joined = docs.withColumn("text", F.col("text").cast("string")).join(drops, docs.doc_id == F.col("_drop_id"), "left").drop("_drop_id")
-    schema = docs.withColumn("text", F.col("text").cast("string")).withColumns({"_n_lines": F.lit(0).cast("bigint"), "_n_dropped": F.lit(0).cast("bigint")}).schema
-    return joined.mapInArrow(_cut(schema.names), schema)
+    docs = docs.drop("_n_lines", "_n_dropped").withColumn("text", F.col("text").cast("string"))
+    texts = docs.select(F.col("doc_id").cast("bigint"), "text")
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    n_bits = 1 << (max(LEAST_BITS, min(MOST_BITS, size // BYTES_A_BIT)) - 1).bit_length()
+    filled = texts.select("text").mapInArrow(_fill(n_bits, min_chars), ddl(_SEGMENTS))
+    merged = s.save(filled.repartition("segment").sortWithinPartitions("segment").mapInArrow(_merge, ddl(_SEGMENTS)))
+    twice = bytearray(n_bits // 8)
+    for row in merged.select("segment", "twice").toLocalIterator():  # at most MOST_BITS in all
+        twice[row.segment * SEGMENT : row.segment * SEGMENT + len(row.twice)] = row.twice
+    shared = spark.sparkContext.broadcast(bytes(twice))
+    suspects = s.save(texts.mapInArrow(_suspects(shared, n_bits, min_chars), ddl(_SUSPECTS)))
+    counts = suspects.groupBy("key").agg(F.countDistinct("doc_id").alias("n"), F.max("doc_id").alias("keeper"))
+    repeats = s.save(counts.where(F.col("n") >= min_docs).select("key", "keeper"))
+    schema = docs.withColumns({"_n_lines": F.lit(0).cast("bigint"), "_n_dropped": F.lit(0).cast("bigint")}).schema
+    if repeats.count() <= told:
+        seed = int.from_bytes(os.urandom(8), "little")
+        got = repeats.mapInArrow(_hashed(seed), "digest binary, keeper bigint").toArrow()
+        known = spark.sparkContext.broadcast(Repeats(seed, got.column("digest").to_pylist(), got.column("keeper").to_numpy()))
+        s.sweep()
+        return docs.mapInArrow(_cut(schema.names, min_chars, known), schema)
+    lost = suspects.join(repeats, "key").where("doc_id != keeper")
+    tag = uuid.uuid4().hex  # names that no column of docs has
+    drops = s.save(lost.groupBy(F.col("doc_id").alias(f"id{tag}")).agg(F.collect_set("key").alias(f"drop{tag}")))
+    s.sweep(drops)
+    # only rows that hold a suspected repeat are shuffled
+    maybe = docs.mapInArrow(_flag(shared, n_bits, min_chars, True), docs.schema)
+    joined = maybe.join(drops, maybe.doc_id.cast("bigint") == drops[f"id{tag}"], "left").drop(f"id{tag}")
+    rest = docs.mapInArrow(_flag(shared, n_bits, min_chars, False), docs.schema).withColumn(f"drop{tag}", F.lit(None).cast("array<binary>"))
+    both = joined.select(*rest.columns).union(rest)
+    return both.mapInArrow(_cut(schema.names, min_chars, lists=f"drop{tag}"), schema)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,22 +15,39 @@ ROWS = [
 ]
 
 
-def test_matches_sql(spark):
-    df = spark.createDataFrame([(i, t, 9, 8) for i, t in ROWS], "doc_id long, text string, keeper int, _n_lines int")
-    out = dedup_lines(spark, df.drop("_n_lines")).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+@pytest.mark.parametrize("told", [linedup.TOLD, 0])
+def test_matches_sql(spark, told):
+    names = ["_drop", "_drop_id", "_n_lines", "key", "keeper", "segment", "doc"]
+    df = spark.createDataFrame([(i, t, *range(len(names))) for i, t in ROWS], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = dedup_lines(spark, df, told=told)
+    assert out.columns == ["doc_id", "text", "_drop", "_drop_id", "key", "keeper", "segment", "doc", "_n_lines", "_n_dropped"]
+    assert {r.segment for r in out.collect()} == {5}
+    out = out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
     want = duck_rows(linedup.OP9_SQL, documents=(["doc_id", "text"], ROWS))
     assert sorted(map(tuple, out.select("doc_id", "kept_sha256", "n_dropped", "n_lines").collect())) == want
     assert sum(r.n_dropped for r in out.collect()) > 20
 
 
-def test_rows_without_id_repeated_ids_and_empty(spark):
+def test_hashes_that_agree_in_one_half():
+    r = linedup.Repeats(0, [a + b for a in (b"x" * 8, b"y" * 8) for b in (b"1" * 8, b"2" * 8)], np.arange(4))
+    assert r.high[0] == r.high[1] and r.gone([], np.zeros(0)).tolist() == []
+    import xxhash
+
+    keys = [str(k).encode() for k in range(50)]
+    digests = [xxhash.xxh3_128_digest(k, 3) for k in keys[::2]]
+    r = linedup.Repeats(3, [d[:8] + b"z" * 8 for d in digests] + digests, np.concatenate([np.full(25, -1), np.arange(25)]))
+    assert r.gone(keys, np.full(50, 7)).tolist() == [k % 2 == 0 and k != 14 for k in range(50)]
+
+
+@pytest.mark.parametrize("told", [linedup.TOLD, 0])
+def test_rows_without_id_repeated_ids_and_empty(spark, told):
     rows = [(None, LONG)] * 6 + [(1, LONG)] * 6 + [(2, LONG)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert dedup_lines(spark, df).agg(F.sum("_n_dropped")).first()[0] == 0  # two documents only
+    assert dedup_lines(spark, df, told=told).agg(F.sum("_n_dropped")).first()[0] == 0  # two documents only
     df = df.union(spark.createDataFrame([(k, LONG) for k in (3, 4, 5)], "doc_id long, text string"))
-    got = dedup_lines(spark, df).groupBy("doc_id").agg(F.sum("_n_dropped").alias("n")).collect()
+    got = dedup_lines(spark, df, told=told).groupBy("doc_id").agg(F.sum("_n_dropped").alias("n")).collect()
     assert {r.doc_id: r.n for r in got} == {None: 0, 1: 6, 2: 1, 3: 1, 4: 1, 5: 0}
-    assert dedup_lines(spark, df.limit(0)).count() == 0
+    assert dedup_lines(spark, df.limit(0), told=told).count() == 0
 
 
 @pytest.mark.parametrize("bits", [1 << 10, 1 << 16])
