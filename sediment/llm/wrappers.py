@@ -2,18 +2,21 @@
 
 A page is a stream of tags and texts. Tandem repeats in a stream become repeated groups; the streams of one
 host are then aligned one after another with the host's wrapper so far, and where they differ, the differing
-part becomes an optional group, or a repeated one if it is a repeat of its neighbour. Texts are slots.
-A slot's place among the open elements says whether it may be main text; over all pages of the host the wrapper knows
-each slot's usual place and whether its text is the same on all of them. A page whose elements do not close takes the
-places of its slots; and where no plain article has text, kinds of slots that the host only fills with the same
-text stand back behind those that vary, unless they are longer.
-
-Pages give their streams with repeats folded, so a host of any size sends each different stream once.
-A page that the wrapper does not accept (alignment is greedy) is extracted by its own open elements alone.
+part becomes an optional group, or a repeated one if it is a repeat of its neighbour. Texts are slots. So a wrapper
+accepts every page it was made from; what grows too long of optional parts is generalised to a repeated group of
+optional items.
+
+A page's text is what its host's wrapper has in the slots of main text. Every page of the host votes on the place of
+each slot by the elements that are open there, and the wrapper knows whether a slot's text is the same on all of them: outside
+articles such slots are boilerplate. Where the votes of a slot are divided, or a page has no wrapper, its own elements decide.
+
+Pages give their streams with repeats folded, so a host of any size sends each different stream once, and streams meet in
+a tree of alignments with a bounded number for each task. Nothing depends on time, and no page is too long.
 """
 
 from __future__ import annotations
 
+import bisect
 import difflib
 import hashlib
 import html
@@ -23,20 +26,21 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sediment.llm.frames import Scratch, batch, ddl, prepare, read
 
-#: Tokens of the longest repeat that is folded, and items of the longest wrapper; a longer one is not aligned further.
-REPEAT, LONGEST = 24, 4000
-#: Parts that a host's streams are dealt to before their wrappers are aligned with each other.
-PARTS = 16
-#: Pages of a host from which on a text that is the same in all of them is constant.
-SAME = 3
-#: Seconds for matching a page with a wrapper.
-PATIENCE = 2.0
+#: Tokens of the longest repeat that is folded.
+REPEAT = 24
+#: Tokens from which on a wrapper's optional parts are generalised.
+LONGEST = 4000
+#: Streams, or wrappers, of a host that one step of the tree aligns.
+FAN = 128
+#: Stretches of this many pairs of items are compared item by item; longer ones are first cut where WIDTHS items in a row occur once in both.
+PAIRS, WIDTHS = 10_000, (8, 4, 2, 1)
+#: Pages of a host from which on a text that is the same in all of them is constant, and the share of a slot's votes that settles its place.
+SAME, SETTLED = 3, 0.9
 
 # Elements and class names of what is not main text, and elements inside a line.
 OUTSIDE = set("nav header footer aside form script style noscript template iframe svg canvas object button select textarea menu dialog head title".split())
@@ -103,62 +107,162 @@ def tokens(page: str) -> tuple[list[str], list[str]]:
     return stream, texts
 
 
-_SQUARE = re.compile(rf"(.{{1,{REPEAT}}}?)\1+", re.S)
+def fold(stream: list) -> list:
+    """A stream with tandem repeats as groups ("+", items); one pass, each token held against the REPEAT before it."""
+    out: list = []
+    for x in stream:
+        out.append(x)
+        while _fold_end(out):
+            pass
+    return out
 
 
-def fold(stream: list) -> list:
-    """A stream with tandem repeats as groups ("+", items)."""
-    code: dict = {}
-    items: list = []
-
-    def char(item) -> str:
-        if item not in code:
-            code[item] = chr(0xE000 + len(code)) if len(code) < 6000 else chr(0x20000 + len(code))
-            items.append(item)
-        return code[item]
-
-    text = "".join(map(char, stream))
-    back = {}
-    while m := _SQUARE.search(text):
-        back.update({c: i for i, c in code.items()})
-        unit = tuple(back[c] for c in m[1])
-        group = unit[0] if len(unit) == 1 and unit[0][0] == "+" else ("+", unit)
-        new = text[: m.start()] + char(group) + text[m.end() :]
-        if new == text:
-            break
-        text = new
-    back.update({c: i for i, c in code.items()})
-    return [back[c] for c in text]
+def _fold_end(out: list) -> bool:
+    """Folds a repeat at the end of out, if there is one."""
+    n, last = len(out), out[-1]
+    for size in range(1, min(REPEAT, n - 1) + 1):
+        before = out[n - size - 1]
+        if not isinstance(before, str) and before[0] == "+" and len(before[1]) == size and before[1][-1] == last and list(before[1]) == out[n - size :]:
+            del out[n - size :]  # one more turn of the group in front
+            return True
+        if before == last and 2 * size <= n and out[n - 2 * size : n - size] == out[n - size :]:
+            unit = tuple(out[n - size :])
+            out[n - 2 * size :] = [unit[0] if size == 1 and unit[0][0] == "+" else ("+", unit)]
+            return True
+    return False
 
 
 def _generalise(a: list, b: list) -> list:
     """b with stretches that equal the inside of a's groups replaced by these groups."""
-    for group in dict.fromkeys(x for x in a if not isinstance(x, str)):
-        unit, k = list(group[1]), 0
-        while k + len(unit) <= len(b):
-            if b[k : k + len(unit)] == unit and (group[0] == "+" or group not in b):
-                b = [*b[:k], group, *b[k + len(unit) :]]
+    starts: dict = {}
+    have = {x for x in b if not isinstance(x, str)}
+    for group in sorted({x for x in a if not isinstance(x, str) and x[0] != "*"}, key=lambda x: (-len(x[1]), repr(x))):
+        if group[0] == "+" or group not in have:
+            starts.setdefault(group[1][0], []).append((group, list(group[1])))
+    if not starts:
+        return b
+    out: list = []
+    k = 0
+    while k < len(b):
+        for group, unit in starts.get(b[k], ()):
+            if b[k : k + len(unit)] == unit:
+                if not (out and out[-1] == group and group[0] == "+"):
+                    out.append(group)
+                k += len(unit)
+                break
+        else:
+            out.append(b[k])
             k += 1
-    return b
+    return out
 
 
 def _optional(items: list) -> list:
     if not items:
         return []
-    if all(not isinstance(x, str) and x[0] == "?" for x in items):
+    if all(not isinstance(x, str) and x[0] in "?*" for x in items):
         return items
     return [("?", tuple(items))]
 
 
-def align(a: list, b: list) -> list:
+def _anchors(a: list[int], b: list[int], width: int) -> list[tuple[int, int]]:
+    """Places in a and b of `width` items in a row that occur once in both, ascending in both."""
+
+    def once(x: list[int]) -> dict:
+        at: dict = {}
+        for k in range(len(x) - width + 1):
+            key = tuple(x[k : k + width])
+            at[key] = -1 if key in at else k
+        return {key: k for key, k in at.items() if k >= 0}
+
+    other = once(b)
+    pairs = [(k, other[key]) for key, k in once(a).items() if key in other]
+    # the longest ascending run of places in b
+    tails: list[int] = []
+    ends: list[int] = []
+    back = [-1] * len(pairs)
+    for n, (_, j) in enumerate(pairs):
+        k = bisect.bisect_left(tails, j)
+        back[n] = ends[k - 1] if k else -1
+        tails[k : k + 1], ends[k : k + 1] = [j], [n]
+    out, n = [], ends[-1] if ends else -1
+    while n >= 0:
+        out.append(pairs[n])
+        n = back[n]
+    return out[::-1]
+
+
+def _common(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    """Ascending pairs of places of equal items in a and b."""
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append((a0, b0))
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append((a1, b1))
+        if a0 == a1 or b0 == b1:
+            continue
+        if (a1 - a0) * (b1 - b0) <= PAIRS:
+            for i, j, n in difflib.SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_matching_blocks():
+                out += [(a0 + i + k, b0 + j + k) for k in range(n)]
+            continue
+        for width in WIDTHS:
+            if found := _anchors(a[a0:a1], b[b0:b1], width):
+                i0, j0 = a0, b0
+                for i, j in found:
+                    if a0 + i >= i0 and b0 + j >= j0:
+                        todo.append((i0, a0 + i, j0, b0 + j))
+                        out.append((a0 + i, b0 + j))
+                        i0, j0 = a0 + i + 1, b0 + j + 1
+                todo.append((i0, a1, j0, b1))
+                break
+    return sorted(out)
+
+
+def _length(items) -> int:
+    return sum(1 if isinstance(x, str) else _length(x[1]) for x in items)
+
+
+def _symbols(items) -> set[str]:
+    return {s for x in items for s in ([x] if isinstance(x, str) else _symbols(x[1]))}
+
+
+def _shorter(items: list, most: int) -> list:
+    """items, if longer than most, with each stretch of groups as ("*", symbols): a repeated group of these, all optional.
+
+    If that is not enough, everything becomes one such group. Either way no less is accepted.
+    """
+    if _length(items) <= most:
+        return items
+    out, held = [], []
+    for x in [*items, ""]:
+        if isinstance(x, str):
+            if held:
+                out.append(("*", tuple(sorted(_symbols(held)))))
+                held = []
+            out += [x] if x else []
+        else:
+            held.append(x)
+    many = sum(len(x[1]) for x in out if not isinstance(x, str))
+    return out if many <= 4 * most else [("*", tuple(sorted(_symbols(items))))]
+
+
+def align(a: list, b: list, most: int | None = None) -> list:
     """One expression for what two accept: common items stay, the others become optional groups."""
-    if a == b or len(a) + len(b) > LONGEST:
+    if a == b:
         return a
     a, b = _generalise(b, a), _generalise(a, b)
+    code: dict = {}
+    pairs = _common([code.setdefault(x, len(code)) for x in a], [code.setdefault(x, len(code)) for x in b])
     out: list = []
-    for kind, a0, a1, b0, b1 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        out += a[a0:a1] if kind == "equal" else _optional(a[a0:a1]) + _optional(b[b0:b1])
-    return [x for k, x in enumerate(out) if not k or x != out[k - 1] or isinstance(x, str)]
+    i0 = j0 = 0
+    for i, j in [*pairs, (len(a), len(b))]:
+        out += _optional(a[i0:i]) + _optional(b[j0:j]) + a[i : i + 1]
+        i0, j0 = i + 1, j + 1
+    out = [x for k, x in enumerate(out) if not k or x != out[k - 1] or isinstance(x, str)]
+    return _shorter(out, LONGEST if most is None else most)
 
 
 def _load(text: str) -> list:
@@ -169,56 +273,80 @@ def _load(text: str) -> list:
 
 
 class Wrapper:
-    """A wrapper compiled to a pattern over streams in which each tag is one character."""
+    """A wrapper compiled to steps: take a symbol (a text with its slot), take any of some, go one of two ways, or end."""
 
     def __init__(self, items: list):
-        self.code: dict[str, str] = {TEXT: chr(0xE000)}
-        self.names: dict[str, int] = {}
+        self.steps: list[tuple] = []
         self.open: list[tuple[str, int]] = []
-        self.pattern = regex.compile(self._build(items))
+        self.place: list[str] = []
+        self._build(items)
+        self.steps.append(("end",))
 
-    def _char(self, item: str) -> str:
-        return self.code.setdefault(item, chr(0xE000 + len(self.code)))
+    def _slot(self) -> int:
+        self.place.append(kind(self.open))
+        return len(self.place) - 1
 
-    def _build(self, items) -> str:
-        out = ""
+    def _build(self, items) -> None:
         for x in items:
             if x == TEXT:
-                key = f"{kind(self.open)}{len(self.names)}"
-                self.names[key] = 1
-                out += f"(?P<{key}>{self.code[TEXT]})"
+                self.steps.append(("take", x, self._slot()))
             elif isinstance(x, str):
-                self._step(x)
-                out += self._char(x)
+                step(self.open, x)
+                self.steps.append(("take", x, -1))
+            elif x[0] == "*":
+                self.steps.append(("any", frozenset(x[1]), self._slot() if TEXT in x[1] else -1))
             else:
-                depth = list(self.open)
-                inner = self._build(x[1])
+                at, depth = len(self.steps), list(self.open)
+                if x[0] == "?":
+                    self.steps.append(())
+                self._build(x[1])
+                end = len(self.steps)
                 if x[0] == "?":
                     self.open = depth  # what an optional group leaves open or closes is not certain
-                out += f"(?:{inner}){x[0]}"
-        return out
-
-    def _step(self, tag: str) -> None:
-        step(self.open, tag)
+                    self.steps[at] = ("or", at + 1, end)
+                else:
+                    self.steps.append(("or", at, end + 1))
 
     def kinds(self, stream: list[str]) -> list[str] | None:
-        """The kind of each text of a stream, by its slot; None if not accepted."""
+        """The kind of each text of a stream, by what the wrapper itself has open at its slot; None if not accepted."""
         slots = self.slots(stream)
-        place = {int(key[1:]): key[0] for key in self.names}
-        return None if slots is None else [place[k] for k in slots]
+        return None if slots is None else [self.place[k] for k in slots]
 
     def slots(self, stream: list[str]) -> list[int] | None:
-        """The number of each text's slot; None if not accepted."""
-        if any(x not in self.code for x in stream):
-            return None
-        try:
-            m = self.pattern.fullmatch("".join(self.code[x] for x in stream), timeout=PATIENCE)
-        except TimeoutError:
-            return None
-        if not m:
-            return None
-        at = sorted((s, int(key[1:])) for key in self.names for s, _ in m.spans(key))
-        return [k for _, k in at]
+        """The number of each text's slot; None if not accepted. No step is tried twice at one place."""
+        n, steps = len(stream), self.steps
+        slot_at = [0] * n
+        seen: set[int] = set()
+        width, todo = n + 1, [(0, 0)]
+        while todo:
+            at, k = todo.pop()
+            while True:
+                key = at * width + k
+                if key in seen:
+                    break
+                seen.add(key)
+                move = steps[at]
+                what = move[0]
+                if what == "take":
+                    if k == n or stream[k] != move[1]:
+                        break
+                    slot_at[k] = move[2]
+                    at, k = at + 1, k + 1
+                elif what == "or":
+                    todo.append((move[2], k))
+                    at = move[1]
+                elif what == "any":
+                    if k < n and stream[k] in move[1]:
+                        todo.append((at + 1, k))
+                        slot_at[k] = move[2]
+                        k += 1
+                    else:
+                        at += 1
+                elif k == n:
+                    return [s for s, x in zip(slot_at, stream, strict=True) if x == TEXT]
+                else:
+                    break
+        return None
 
 
 def kind(opened: list[tuple[str, int]]) -> str:
@@ -292,19 +420,24 @@ def choose(there: set[str]) -> str:
 def main_text(stream: list[str], texts: list[str], kinds: list[str], constant: list[bool] | None = None) -> str:
     """The texts of the article, or of the body where no article has text, as blocks joined by one space.
 
-    constant: the texts whose slots the host fills with the same text everywhere.
+    constant: the texts whose slots the host fills with the same text everywhere. Outside articles these are
+    boilerplate: kinds that have no other text give way to longer ones that have, and of the kinds taken only what varies
+    stays, unless that is next to nothing.
     """
     plain = [html.unescape(t) for t in texts]
-    want = choose({k for k, t in zip(kinds, plain, strict=True) if t.strip()})
-    if want != "a" and constant and any(constant):
-        varied = choose({k for k, t, c in zip(kinds, plain, constant, strict=True) if t.strip() and not c})
-        length = [sum(len(t.strip()) for k, t in zip(kinds, plain, strict=True) if k in some) for some in (want, varied)]
-        if length[1] > length[0]:
+    size = [len(t.strip()) for t in plain]
+    constant = constant or [False] * len(texts)
+    total = lambda kind, fixed: sum(n for k, n, c in zip(kinds, size, constant, strict=True) if k in kind and c in fixed)
+    want, drop = choose({k for k, n in zip(kinds, size, strict=True) if n}), False
+    if want != "a" and any(constant):
+        varied = choose({k for k, n, c in zip(kinds, size, constant, strict=True) if n and not c})
+        if total(varied, (False, True)) > total(want, (False, True)):
             want = varied
+        drop = 4 * total(want, (False,)) >= total(want, (True,))
     out, k = [], 0
     for x in stream:
         if x == TEXT:
-            if kinds[k] in want:
+            if kinds[k] in want and not (drop and constant[k]):
                 out.append(plain[k])
             k += 1
         elif x.lstrip("</").rstrip("*!") not in INLINE:
@@ -341,40 +474,42 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch(_SHAPES, host=[h for h, _ in rows], shape=[s for _, s in rows])
 
 
-_WRAPPED = {"host": pa.string(), "h": pa.int64(), "wrapper": pa.string()}
+_WRAPPED = {"host": pa.string(), "h": pa.int64(), "part": pa.int64(), "parts": pa.int64(), "wrapper": pa.string()}
 
 
-def _align(column: str, *keys: str):
-    """One wrapper for each host and key, from rows sorted by the keys; holds one key's wrappers at a time."""
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One wrapper for each host and part, from rows sorted by these; holds one part's wrappers at a time."""
+    now: tuple | None = None
+    wrappers: dict[str, tuple[list, int]] = {}  # h is a hash; hosts that share one stay apart
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now: tuple | None = None
-        wrappers: dict[str, list] = {}  # keys are hashes; hosts that share one stay apart
-
-        def done() -> pa.RecordBatch:
-            return batch(_WRAPPED, host=list(wrappers), h=[now[0]] * len(wrappers), wrapper=[json.dumps(w, separators=(",", ":")) for w in wrappers.values()])
-
-        for b in batches:
-            for host, shape, *key in zip(*(b.column(c).to_pylist() for c in ("host", column, *keys)), strict=True):
-                if tuple(key) != now:
-                    if wrappers:
-                        yield done()
-                    now, wrappers = tuple(key), {}
-                new = _load(shape)
-                wrappers[host] = align(wrappers[host], new) if host in wrappers else new
-        if wrappers:
-            yield done()
+    def done() -> pa.RecordBatch:
+        n = len(wrappers)
+        return batch(_WRAPPED, host=list(wrappers), h=[now[0]] * n, part=[now[1]] * n, parts=[p for _, p in wrappers.values()], wrapper=[json.dumps(w, separators=(",", ":")) for w, _ in wrappers.values()])
 
-    return run
+    for b in batches:
+        for host, h, part, parts, text in zip(*(b.column(c).to_pylist() for c in _WRAPPED), strict=True):
+            if (h, part) != now:
+                if wrappers:
+                    yield done()
+                now, wrappers = (h, part), {}
+            new = _load(text)
+            wrappers[host] = (align(wrappers[host][0], new) if host in wrappers else new, parts)
+    if wrappers:
+        yield done()
 
 
-def infer_wrappers(s: Scratch, pages: DataFrame) -> DataFrame:
-    """(host, wrapper), from every page of the host."""
-    shapes = pages.select("url", "html").mapInArrow(_shapes, ddl(_SHAPES)).distinct()
-    shapes = shapes.withColumns({"h": F.xxhash64("host"), "part": F.pmod(F.xxhash64("shape"), F.lit(PARTS).cast("bigint"))})
-    first = shapes.repartition("h", "part").sortWithinPartitions("h", "part", "shape").mapInArrow(_align("shape", "h", "part"), ddl(_WRAPPED))
-    both = first.repartition("h").sortWithinPartitions("h", "wrapper").mapInArrow(_align("wrapper", "h"), ddl(_WRAPPED))
-    return s.save(both.select("host", "wrapper"), narrow=True)
+def infer_wrappers(s: Scratch, pages: DataFrame, fan: int = FAN) -> DataFrame:
+    """(host, wrapper), from every page of the host: a tree of alignments, each of about `fan` streams or wrappers."""
+    shapes = s.save(pages.select("url", "html").mapInArrow(_shapes, ddl(_SHAPES)).distinct().withColumn("h", F.xxhash64("host")))
+    parts = shapes.groupBy("h").agg(F.ceil(F.count("*") / fan).alias("parts"))
+    now = shapes.join(parts, "h").select("host", "h", F.pmod(F.xxhash64("shape"), "parts").alias("part"), "parts", F.col("shape").alias("wrapper"))
+    while True:
+        dealt = now.repartition("h", "part").sortWithinPartitions("h", "part", "wrapper")
+        done = s.save(dealt.mapInArrow(_align, ddl(_WRAPPED)), narrow=True)
+        if (done.agg(F.max("parts")).first()[0] or 1) <= 1:
+            return done.select("host", "wrapper")
+        fewer = F.ceil(F.col("parts") / fan)
+        now = done.select("host", "h", F.pmod("part", fewer).alias("part"), fewer.alias("parts"), "wrapper")
 
 
 class _Wrappers:
@@ -391,7 +526,7 @@ class _Wrappers:
             if text is not None and text not in self.compiled:
                 if len(self.compiled) > 4096:
                     self.compiled.clear()
-                self.compiled[text] = _compile(text)
+                self.compiled[text] = Wrapper(_load(text))
             w = self.compiled.get(text)
             got = (w.slots(stream) if w else None, *direct(stream))
             if len(self.known) >= 4096:
@@ -404,7 +539,7 @@ _PLACES = {"host": pa.string(), "slot": pa.int64(), "kind": pa.string(), "n": pa
 
 
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What a task's pages put into the slots of their hosts: pages by kind (none where elements do not close), least and largest hash of text."""
+    """What a task's pages put into the slots of their hosts: pages by kind (none where elements do not close), least and largest hash of what a page says there."""
     wrappers = _Wrappers()
     held: dict[tuple, list[int]] = {}
 
@@ -417,15 +552,17 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, page, text in zip(*(b.column(c).to_pylist() for c in ("_host", "html", "_wrapper")), strict=True):
             stream, texts = tokens(page or "")
             slots, kinds, closed = wrappers.read(stream, text)
-            seen = set()
+            there: dict[int, tuple[list[str], set[str]]] = {}
             for slot, k, t in zip(slots or [], kinds, texts, strict=bool(slots)):
-                if not (words := t.split()):
-                    continue
-                x = int.from_bytes(hashlib.blake2b(" ".join(words).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
-                row = held.setdefault((host, slot, k if closed else None), [0, x, x])
-                row[0] += slot not in seen
-                row[1], row[2] = min(row[1], x), max(row[2], x)
-                seen.add(slot)
+                if words := t.split():
+                    said, places = there.setdefault(slot, ([], set()))
+                    said.append(" ".join(words))
+                    places.add(k)
+            for slot, (said, places) in there.items():  # a repeated slot holds all that its turns say
+                x = int.from_bytes(hashlib.blake2b("\n".join(said).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+                for k in places if closed else (None,):
+                    row = held.setdefault((host, slot, k), [0, x, x])
+                    row[0], row[1], row[2] = row[0] + 1, min(row[1], x), max(row[2], x)
         if len(held) > 1 << 16:
             yield done()
             held.clear()
@@ -434,12 +571,14 @@ def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def slot_places(s: Scratch, joined: DataFrame) -> DataFrame:
-    """(host, places) over all pages of a host: for each slot its number, usual kind (? if unknown) and = if it is constant."""
+    """(host, places) over all pages of a host: for each slot its number, settled kind (? if votes are divided) and = if it is constant."""
     seen = joined.where("_host is not null").select("_host", "html", "_wrapper").mapInArrow(_places, ddl(_PLACES))
     kinds = seen.groupBy("host", "slot", "kind").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-    usual = F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind")))["kind"]
+    votes = F.sum(F.when(F.col("kind").isNotNull(), F.col("n")))
+    first = F.max(F.when(F.col("kind").isNotNull(), F.struct("n", "kind")))
+    settled = F.when(first["n"] >= SETTLED * votes, first["kind"]).otherwise("?")
     same = (F.min("low") == F.max("high")) & (F.sum("n") >= SAME)
-    slots = kinds.groupBy("host", "slot").agg(F.concat(F.col("slot").cast("string"), F.coalesce(usual, F.lit("?")), F.when(same, "=").otherwise("")).alias("place"))
+    slots = kinds.groupBy("host", "slot").agg(F.concat(F.col("slot").cast("string"), settled, F.when(same, "=").otherwise("")).alias("place"))
     return s.save(slots.groupBy("host").agg(F.array_join(F.collect_list("place"), " ").alias("places")), narrow=True)
 
 
@@ -459,7 +598,7 @@ def _extract(names: list[str]):
             out, by_host = [], []
             for page, text, where in zip(*(b.column(c).to_pylist() for c in ("html", "_wrapper", "_places")), strict=True):
                 stream, texts = tokens(page or "")
-                slots, kinds, closed = wrappers.read(stream, text)
+                slots, kinds, _ = wrappers.read(stream, text)
                 constant = None
                 if slots is not None:
                     if where not in known:
@@ -468,8 +607,7 @@ def _extract(names: list[str]):
                         known[where] = _read_places(where)
                     places = [known[where].get(k, ("?", False)) for k in slots]
                     constant = [c for _, c in places]
-                    if not closed:
-                        kinds = [own if p == "?" else p for (p, _), own in zip(places, kinds, strict=True)]
+                    kinds = [own if p == "?" else p for (p, _), own in zip(places, kinds, strict=True)]
                 by_host.append(slots is not None)
                 out.append(main_text(stream, texts, kinds, constant))
             new = {"text": pa.array(out, pa.string()), "by_host": pa.array(by_host)}
@@ -478,21 +616,16 @@ def _extract(names: list[str]):
     return run
 
 
-def _compile(text: str) -> Wrapper | None:
-    items = _load(text)
-    return Wrapper(items) if len(items) <= LONGEST else None
-
-
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     """(page_id, url, text, by_host) for each row of pages (page_id, url, html).
 
-    text is the main text: what stands in article elements, or in the body where none of them has text, outside menus,
-    headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. A word of a class or id alone puts
-    no article outside and nothing that encloses one; what it marks is used where nothing else has text. White space inside a
-    block becomes one space and blocks are joined by one. by_host: the host's wrapper accepted the page,
-    and so had a say in it: in a page whose elements do not close, and among kinds of text where no plain article has any.
-    A null or empty html has an empty text; a url without a host shares the wrapper of the empty host.
-    Rows are extracted one by one, so repeated rows give equal results; other columns are left out.
+    text is the main text: what the host's wrapper has in slots whose place is an article, or the body where none of them
+    has text, outside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments. A word of a class
+    or id alone puts no article outside and nothing that encloses one; what it marks is used where nothing else has text.
+    White space inside a block becomes one space and blocks are joined by one. by_host: the wrapper accepted the page, as it does
+    with every page it was inferred from. A null or empty html has an empty text; a url without a host shares the
+    wrapper of the empty host; a page of any length is aligned and extracted as a whole. Repeated pages vote each time
+    and give equal results; other columns are left out; an empty table gives an empty one.
     """
     prepare(spark)
     s = Scratch(spark)
