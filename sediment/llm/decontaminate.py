@@ -4,10 +4,10 @@ Every passage of every document is a query against the index of items. Scores ar
 score for its own text, so one threshold fits items of any length, and items at or above it are retrieved;
 each is then verified by the word n-grams of its question part and its answer part found in the passage.
 
-Passages overlap and are twice as long as the longest item, so an item lies whole in one of them. Before the
-pivot loop, one bound is taken for all passages of a batch at once: an item is out of reach of a passage
-unless the weights of its rare terms that occur there, with all those of its common terms, reach the
-threshold. Passages that keep an item in reach go through block-max WAND.
+Items are dealt to indexes by their length. Passages overlap and are twice as long as the longest item of an index
+may be, so an item lies whole in one of them. Where not even the largest weights of an item's terms in the passage
+reach the threshold for any item, there is no pivot to begin with; this is found for all passages of a batch at once, by
+the weights of rare terms that occur and those of all common ones. Every other passage goes through block-max WAND.
 """
 
 from __future__ import annotations
@@ -32,7 +32,9 @@ BLOCK = 8
 GRAM, OVERLAP = 3, 0.5
 #: Share of the item's words, at its end, that count as its answer.
 ANSWER = 0.3
-#: Bytes of item text in one index; more items are dealt to several indexes, each of which meets every document.
+#: Words of the items in the first index at most, and how many times as many in each further one.
+SPAN, WIDER = 16, 4
+#: Bytes of item text that a task holds; more items are dealt to several shards, each of which meets every document.
 INDEX_BYTES = 32 << 20
 _END = 1 << 60
 
@@ -49,22 +51,35 @@ def _grams(words: np.ndarray, order: int = GRAM) -> np.ndarray:
 
 @dataclass
 class Stats:
-    """What scores and passages take from all items: their number, words in all and in the longest, and items by term (ascending)."""
+    """What scores take from all items: their number, words in all, and items by term (ascending)."""
 
     items: int
     words: int
-    longest: int
     terms: np.ndarray
     df: np.ndarray
 
 
+def stats_of(words: list[np.ndarray]) -> Stats:
+    terms, df = np.unique(np.concatenate([np.unique(w) for w in words]), return_counts=True) if words else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    return Stats(len(words), sum(map(len, words)), terms, df)
+
+
+def span_of(n: int) -> int:
+    """The longest item, in words, of the index that an item of n words belongs to."""
+    span = SPAN
+    while span < n:
+        span *= WIDER
+    return span
+
+
 @dataclass
 class Index:
-    """Postings by term, ascending by item, in blocks that know their largest weight. stats: of all items, where these are a part."""
+    """Postings by term, ascending by item, in blocks that know their largest weight. stats and span: those of all items, where these are a part."""
 
     item_ids: list[int]
     words: list[np.ndarray]
     stats: Stats | None = None
+    span: int = 0
     terms: np.ndarray = field(default=None)
     posts: list[np.ndarray] = field(default=None)
     weights: list[np.ndarray] = field(default=None)
@@ -72,7 +87,9 @@ class Index:
     def __post_init__(self):
         n = len(self.words)
         lengths = np.array([len(w) for w in self.words], float)
-        mean = self.stats.words / max(1, self.stats.items) if self.stats else lengths.mean() if n else 1.0
+        stats = self.stats or stats_of(self.words)
+        self.span = self.span or (int(lengths.max()) if n else 1)
+        mean = stats.words / max(1, stats.items)
         rows = []
         for i, w in enumerate(self.words):
             term, tf = np.unique(w, return_counts=True)
@@ -80,8 +97,9 @@ class Index:
         term, item, tf = (np.concatenate(x) if n else np.zeros(0, np.uint64) for x in zip(*rows, strict=True)) if n else (np.zeros(0, np.uint64),) * 3
         self.terms, at, df = np.unique(term, return_inverse=True, return_counts=True)
         item = item.astype(np.int64)
-        all_n, all_df = (self.stats.items, self.stats.df[np.searchsorted(self.stats.terms, self.terms)]) if self.stats else (n, df)
-        idf = np.log1p((all_n - all_df + 0.5) / (all_df + 0.5))
+        all_df = stats.df[np.searchsorted(stats.terms, self.terms)]
+        idf = np.log1p((stats.items - all_df + 0.5) / (all_df + 0.5))
+        self.stats = None
         impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / mean)) if len(at) else np.zeros(0)
         own = np.bincount(item, impact, minlength=n)
         weight = impact / own[item] if len(at) else impact
@@ -94,7 +112,6 @@ class Index:
         self.block_end = [p[np.minimum(np.arange(BLOCK - 1, len(p) + BLOCK - 1, BLOCK), len(p) - 1)] for p in self.posts]
         self.upper = np.array([w.max() for w in self.weights])
         self._reach(at, item, weight, df, n)
-        self.span = self.stats.longest if self.stats else int(lengths.max()) if n else 1
         cut = [len(w) - max(1, round(ANSWER * len(w))) if len(w) > 1 else len(w) for w in self.words]
         # n-grams of each part and their order: a part of fewer than GRAM words is one n-gram of its own length
         self.parts = [tuple((min(GRAM, len(p)), _grams(p)) for p in (w[:c], w[c:])) for w, c in zip(self.words, cut, strict=True)]
@@ -143,11 +160,8 @@ class Index:
         bound = np.add.reduceat(self.rare_weight[key[4]], at) + self.common[key[2, at]]
         return key[:3, at[bound >= THRESHOLD - 1e-9]].T
 
-    def retrieve(self, passage: np.ndarray, threshold: float = THRESHOLD, among: np.ndarray | None = None) -> list[tuple[int, float]]:
-        """(item, score) of every item that reaches the threshold, by block-max WAND over the passage's terms.
-
-        among: the ascending items that a bound has left; pivots between them are passed over.
-        """
+    def retrieve(self, passage: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, float]]:
+        """(item, score) of every item that reaches the threshold, by block-max WAND over the passage's terms."""
         words = np.unique(passage)
         at = np.searchsorted(self.terms, words)
         there = at < len(self.terms)
@@ -165,19 +179,6 @@ class Index:
             if pivot < 0 or lists[pivot][0] >= _END:
                 break
             item = lists[pivot][0]
-            if among is not None:
-                place = int(np.searchsorted(among, item))
-                if place == len(among):
-                    break
-                item = int(among[place])
-                for x in lists:
-                    if x[0] < item:
-                        x[1] = int(np.searchsorted(self.posts[x[2]], item))
-                        x[0] = int(self.posts[x[2]][x[1]]) if x[1] < len(self.posts[x[2]]) else _END
-                lists.sort(key=lambda x: x[0])
-                if lists[0][0] > item:
-                    continue
-                pivot = 0
             while pivot + 1 < len(lists) and lists[pivot + 1][0] == item:
                 pivot += 1
             # what the blocks that could hold the pivot item allow, and where the first of them ends
@@ -209,14 +210,11 @@ class Index:
         """(text, item): score and the two overlaps of the best verified passage."""
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
         reach = self.passages_in_reach(words, text, position)
-        new = np.flatnonzero(np.append(True, (reach[1:, :2] != reach[:-1, :2]).any(axis=1))) if len(reach) else []
-        for part in np.split(reach, new[1:]) if len(reach) else []:
-            t, number = part[0, :2].tolist()
+        for t, number in np.unique(reach[:, :2], axis=0).tolist() if len(reach) else []:
             lo = int(off[t]) + number * self.span
             passage = words[lo : min(int(off[t + 1]), lo + 2 * self.span)]
-            got = self.retrieve(passage, among=part[:, 2])
             grams: dict[int, np.ndarray] = {}
-            for item, score in got:
+            for item, score in self.retrieve(passage):
                 overlap = []
                 for order, part in self.parts[item]:
                     if order not in grams:
@@ -245,37 +243,43 @@ def _shard_stats(items: DataFrame, shards: int) -> Iterator[Stats]:
     each = rows.select("shard", F.explode("terms").alias("term")).groupBy("shard", "term").agg(F.count("*").alias("n"))
     each = s.save(each)
     whole = s.save(each.groupBy("term").agg(F.sum("n").alias("df")))
-    n, words, longest = rows.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.max("words"), F.lit(1))).first()
+    n, words = rows.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
     for k in range(shards):
         got = whole.join(each.where(F.col("shard") == k).select("term"), "term", "left_semi").toArrow()
         terms = got.column("term").to_numpy().view(np.uint64)
         order = np.argsort(terms)
-        yield Stats(n, words, longest, terms[order], got.column("df").to_numpy()[order])
+        yield Stats(n, words, terms[order], got.column("df").to_numpy()[order])
     s.drop(*s.tables)
 
 
-def indexes(benchmark: DataFrame) -> Iterator[Index]:
-    """Indexes of the items (item_id, text), each of at most about INDEX_BYTES of text; items without words have no place.
+def indexes(benchmark: DataFrame) -> Iterator[list[Index]]:
+    """Shards of the items (item_id, text), each of at most about INDEX_BYTES of text, as one index for each class of lengths.
 
-    Several indexes score as one would: each takes the figures of all items.
+    Items without words have no place. Scores and finds do not depend on the shards: every index takes the figures of all items.
     """
     items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string")).where("item_id is not null and text is not null")
     shards = 1 + int(items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]) // INDEX_BYTES
     items = items.withColumn("shard", F.pmod(F.xxhash64("item_id"), F.lit(shards).cast("bigint")))
-    stats = _shard_stats(items, shards) if shards > 1 else iter([None])
-    for k, of_all in enumerate(stats):
+    for k, of_all in enumerate(_shard_stats(items, shards) if shards > 1 else [None]):
         rows = items.where(F.col("shard") == k).orderBy("item_id", "text").collect()
         words = [w for _, w, _ in text_words(pa.array([r.text for r in rows], pa.string()), ALNUM, at_most=1)] if rows else []
         kept = [(r.item_id, w) for r, w in zip(rows, words, strict=True) if len(w)]
-        yield Index([i for i, _ in kept], [w for _, w in kept], of_all)
+        of_all = of_all or stats_of([w for _, w in kept])
+        spans = sorted({span_of(len(w)) for _, w in kept})
+        yield [Index([i for i, w in kept if span_of(len(w)) == span], [w for _, w in kept if span_of(len(w)) == span], of_all, span) for span in spans]
 
 
-def _text_matches(index: Index, column: pa.Array) -> Iterator[tuple[int, dict]]:
-    if not index.item_ids:
+def _text_matches(shard: list[Index], column: pa.Array) -> Iterator[tuple[int, dict]]:
+    """(first row, {(text, item_id): [score and overlaps]}) for each group of texts of a column; items that share an id give one entry each."""
+    if not shard:
         return
     for first, words, off in text_words(column, ALNUM):
         text = np.repeat(np.arange(len(off) - 1), np.diff(off))
-        yield first, index.matches(words, text, np.arange(len(words)) - off[text], off)
+        found: dict = {}
+        for index in shard:
+            for (t, i), got in index.matches(words, text, np.arange(len(words)) - off[text], off).items():
+                found.setdefault((t, index.item_ids[i]), []).append(got)
+        yield first, found
 
 
 _LEAKS = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "question_overlap": pa.float64(), "answer_overlap": pa.float64()}
@@ -283,23 +287,23 @@ _LEAKS = {"doc_id": pa.int64(), "item_id": pa.int64(), "score": pa.float64(), "q
 
 def _leaks(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        shard = shared.value
         for b in batches:
             ids = b.column("doc_id")
-            for first, found in _text_matches(index, b.column("text")):
-                rows = sorted(found.items())
+            for first, found in _text_matches(shard, b.column("text")):
+                rows = [(at, v) for at, each in sorted(found.items()) for v in sorted(each)]
                 if rows:
-                    yield batch(_LEAKS, doc_id=[ids[first + t].as_py() for (t, _), _ in rows], item_id=[index.item_ids[i] for (_, i), _ in rows], **{c: [round(v[k], 6) for _, v in rows] for k, c in enumerate(("score", "question_overlap", "answer_overlap"))})
+                    yield batch(_LEAKS, doc_id=[ids[first + t].as_py() for (t, _), _ in rows], item_id=[i for (_, i), _ in rows], **{c: [round(v[k], 6) for _, v in rows] for k, c in enumerate(("score", "question_overlap", "answer_overlap"))})
 
     return run
 
 
 def _clean(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        shard = shared.value
         for b in batches:
             keep = np.ones(b.num_rows, bool)
-            for first, found in _text_matches(index, b.column("text").cast(pa.string())):
+            for first, found in _text_matches(shard, b.column("text").cast(pa.string())):
                 keep[[first + t for t, _ in found]] = False
             yield b.filter(pa.array(keep))
 
@@ -310,23 +314,26 @@ def leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFra
     """(doc_id, item_id, score, question_overlap, answer_overlap): items found in a document, at its best passage.
 
     Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` with A-Z lower-cased. Null and empty texts on either side match
-    nothing; repeated documents and items each give their rows; a null doc_id stays null. An empty table
-    on either side gives no rows. Other columns are left out.
+    nothing; repeated documents and items each give their rows; a null doc_id stays null. A text of any length is
+    searched as a whole. An empty table on either side gives no rows. Other columns are left out.
     """
     prepare(spark)
     texts = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"))
     out = None
-    for index in indexes(benchmark):
-        part = texts.mapInArrow(_leaks(spark.sparkContext.broadcast(index)), ddl(_LEAKS))
+    for shard in indexes(benchmark):
+        part = texts.mapInArrow(_leaks(spark.sparkContext.broadcast(shard)), ddl(_LEAKS))
         out = part if out is None else out.union(part)
     return out
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs, all columns, in which no item is found."""
+    """The rows of docs, all columns whatever their names, in which no item is found.
+
+    Null and empty texts hold nothing and stay; repeated rows stay or go alike; a text of any length is searched as a whole.
+    """
     prepare(spark)
-    for index in indexes(benchmark):
-        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(index)), docs.schema)
+    for shard in indexes(benchmark):
+        docs = docs.mapInArrow(_clean(spark.sparkContext.broadcast(shard)), docs.schema)
     return docs
 
 
