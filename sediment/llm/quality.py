@@ -6,9 +6,10 @@ made by aggregates and joins. A document's perplexity comes from joining its n-g
 a model within MODEL_ROWS n-grams goes to the tasks and is looked up there; a larger one stays sharded,
 and the documents' n-gram counts are shuffled to it. Both ways give the same sums.
 
-A document is kept if its perplexity lies between limits set by quantiles of its language's trusted documents.
-Text that repeats itself can have an ordinary perplexity; so the bytes to each different n-gram of the
-document are held against a quantile too, that of trusted documents of about its length.
+A document is kept if its perplexity lies between two quantiles of its language's trusted documents. The upper one is of
+perplexities under models that have not seen the document: trusted documents are dealt to two folds, and each is scored by
+the model of the other one. The lower one is of perplexities under the whole model, since no clean text can be more familiar to it
+than what it was trained on. All three models are made at once, as rows of the same tables.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sediment.llm.frames import Scratch, batch, ddl, prepare, read
@@ -26,11 +27,10 @@ from sediment.llm.kernel import CHUNK, U, _string_parts, mix, take_ranges
 ORDER = 5
 #: N-grams of all orders that a model may hold to be sent to the tasks, some 100 MB; and ids of trusted rows likewise.
 MODEL_ROWS, TRUSTED_ROWS = 4 << 20, 1 << 20
-#: Quantiles of the trusted documents that set the limits, and how many times as far from their median the limits
-#: lie, in logarithms: the model has seen the trusted documents, so it finds others of their kind less likely.
-LOW, HIGH, STRETCH, REPEAT_STRETCH = 0.01, 0.99, 4.0, 2.0
-#: Where no trusted text has a document's size, times the largest limit on repeats of any size.
-UNSEEN = 4.0
+#: Quantiles of the trusted documents that are the limits, and steps of perplexity, to each factor of e, that they are taken in.
+LOW, HIGH, STEPS = 0.005, 0.995, 1000
+#: The whole model, and the two that have seen one fold each.
+WHOLE, FOLDS = 2, (0, 1)
 #: N-gram entries that a task holds before it sends them on.
 HELD = 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -94,29 +94,42 @@ def discounts(n1: float, n2: float, n3: float, n4: float) -> tuple[float, float,
 
 
 def build(s: Scratch, trusted: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
-    """For each order from 1: (gram, p) of what was seen and (context, gamma) of the contexts seen."""
-    counts = s.save(trusted.select("text").mapInArrow(_counts, ddl(_COUNTS)).groupBy("gram").agg(F.sum("n").alias("c")))
+    """For each order from 1: (model, gram, p) of what was seen and (model, context, gamma) of the contexts seen.
+
+    trusted: (text, fold). Model WHOLE has seen all, model k of FOLDS the documents of that fold.
+    """
+    parts = [trusted.where(F.col("fold") == k).select("text").mapInArrow(_counts, ddl(_COUNTS)).withColumn("fold", F.lit(k)) for k in FOLDS]
+    seen = parts[0].union(parts[1]).groupBy("fold", "gram").agg(F.sum("n").alias("c"))
+    seen = seen.select(F.explode(F.array("fold", F.lit(WHOLE))).alias("model"), "gram", "c")
+    counts = s.save(seen.groupBy("model", "gram").agg(F.sum("c").alias("c")))
     levels = [counts]
     for k in range(ORDER - 1, 0, -1):  # a lower order counts the different bytes before an n-gram
-        levels.insert(0, s.save(levels[0].groupBy(F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).agg(F.count("*").alias("c"))))
+        levels.insert(0, s.save(levels[0].groupBy("model", F.col("gram").bitwiseAND(F.lit(_mask(k))).alias("gram")).agg(F.count("*").alias("c"))))
     out, below = [], None
     for k, level in enumerate(levels, 1):
-        few = level.agg(*[F.sum((F.col("c") == j).cast("bigint")).alias(f"n{j}") for j in range(1, 5)]).first()
-        d1, d2, d3 = discounts(*(float(x or 0) for x in few))
+        few = level.groupBy("model").agg(*[F.sum((F.col("c") == j).cast("bigint")).alias(f"n{j}") for j in range(1, 5)]).collect()
+        off = F.lit(None).cast("double")
+        for r in few:
+            d1, d2, d3 = discounts(*(float(x or 0) for x in (r.n1, r.n2, r.n3, r.n4)))
+            off = F.when(F.col("model") == r.model, F.when(F.col("c") == 1, F.lit(d1)).when(F.col("c") == 2, F.lit(d2)).otherwise(F.lit(d3))).otherwise(off)
         level = level.withColumn("h", F.shiftright("gram", 8))
-        off = F.when(F.col("c") == 1, F.lit(d1)).when(F.col("c") == 2, F.lit(d2)).otherwise(F.lit(d3))
-        context = s.save(level.groupBy("h").agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("gamma")))
-        joined = level.join(context, "h").select("gram", ((F.col("c") - off) / F.col("total")).alias("own"), "gamma")
+        context = s.save(level.groupBy("model", "h").agg(F.sum("c").alias("total"), (F.sum(off) / F.sum("c")).alias("gamma")))
+        joined = level.join(context, ["model", "h"]).select("model", "gram", ((F.col("c") - off) / F.col("total")).alias("own"), "gamma")
         if below is None:
             p = F.col("own") + F.col("gamma") / F.lit(256.0)
         else:
-            joined = joined.withColumn("low", F.col("gram").bitwiseAND(F.lit(_mask(k - 1)))).join(below.select(F.col("gram").alias("low"), F.col("p").alias("q")), "low")
+            low = below.select("model", F.col("gram").alias("low"), F.col("p").alias("q"))
+            joined = joined.withColumn("low", F.col("gram").bitwiseAND(F.lit(_mask(k - 1)))).join(low, ["model", "low"])
             p = F.col("own") + F.col("gamma") * F.col("q")
-        below = s.save(joined.select("gram", p.alias("p")))
-        out.append((below, context.select(F.col("h").alias("context"), "gamma")))
+        below = s.save(joined.select("model", "gram", p.alias("p")))
+        out.append((below, context.select("model", F.col("h").alias("context"), "gamma")))
     return out
 
 
+def one_model(levels: list[tuple[DataFrame, DataFrame]], model: int) -> list[tuple[DataFrame, DataFrame]]:
+    return [tuple(t.where(F.col("model") == model).drop("model") for t in level) for level in levels]
+
+
 class Lookup:
     """int64 keys to doubles, in an open-addressed table that is read for many keys at once."""
 
@@ -171,7 +184,7 @@ class Model:
         return out
 
 
-_SUMS = {"n_bytes": pa.int64(), "n_grams": pa.int64(), "log_p": pa.float64()}
+_SUMS = {"n_bytes": pa.int64(), "log_p": pa.float64()}
 
 
 def _sums(shared, names: list[str]):
@@ -181,8 +194,7 @@ def _sums(shared, names: list[str]):
             for first, g, off in grams(b.column("text")):
                 sums = np.concatenate([[0.0], np.cumsum(model.log_p(g))])[off]
                 part = b.slice(first, len(off) - 1)
-                different = [len(np.unique(g[a:z])) for a, z in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-                new = {"n_bytes": pa.array(np.diff(off)), "n_grams": pa.array(different, pa.int64()), "log_p": pa.array(np.diff(sums))}
+                new = {"n_bytes": pa.array(np.diff(off)), "log_p": pa.array(np.diff(sums))}
                 yield pa.RecordBatch.from_arrays([new[c] if c in new else part.column(c) for c in names], names=names)
 
     return run
@@ -202,7 +214,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def score_joined(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
-    """(row, n_grams, log_p) of docs (row, text) by joins to the sharded tables, n-grams of one text counted first."""
+    """(row, log_p) of docs (row, text) by joins to the sharded tables, n-grams of one text counted first."""
     entries = docs.select("row", "text").mapInArrow(_entries, ddl(_ENTRIES))
     # each different n-gram of the documents gets its log probability once
     left = entries.select("gram").distinct().withColumns({"now": F.col("gram"), "log": F.lit(0.0)})
@@ -215,11 +227,11 @@ def score_joined(docs: DataFrame, model: list[tuple[DataFrame, DataFrame]]) -> D
         rest = got.where("p is null").drop("p").withColumn("context", F.shiftright("now", 8)).join(context, "context", "left")
         left = rest.select("gram", F.col("now").bitwiseAND(F.lit(_mask(k - 1))).alias("now"), (F.col("log") + F.coalesce(F.log("gamma"), F.lit(0.0))).alias("log"))
     done = done.union(left.select("gram", (F.col("log") - F.log(F.lit(256.0))).alias("log")))
-    return entries.join(done, "gram").groupBy("row").agg(F.count("*").alias("n_grams"), F.sum(F.col("n") * F.col("log")).alias("log_p"))
+    return entries.join(done, "gram").groupBy("row").agg(F.sum(F.col("n") * F.col("log")).alias("log_p"))
 
 
 def score(spark: SparkSession, s: Scratch, docs: DataFrame, model: list[tuple[DataFrame, DataFrame]], most: int = MODEL_ROWS) -> DataFrame:
-    """docs (doc_id, lang, text) as (doc_id, lang, n_bytes, n_grams, log_p)."""
+    """docs (doc_id, lang, text) as (doc_id, lang, n_bytes, log_p)."""
     texts = docs.select("doc_id", "lang", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     if sum(t.count() for level in model for t in level) <= most:
         tables = [tuple(c.to_numpy() for t in level for c in t.toArrow().columns) for level in model]
@@ -230,48 +242,57 @@ def score(spark: SparkSession, s: Scratch, docs: DataFrame, model: list[tuple[Da
     numbered = s.save(texts.withColumn("row", F.monotonically_increasing_id()))
     sums = score_joined(numbered, model)
     out = numbered.withColumn("n_bytes", F.octet_length("text").cast("bigint")).join(sums, "row", "left")
-    return out.select("doc_id", "lang", "n_bytes", F.coalesce("n_grams", F.lit(0)).alias("n_grams"), F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
+    return out.select("doc_id", "lang", "n_bytes", F.coalesce("log_p", F.lit(0.0)).alias("log_p"))
+
+
+def _perplexity(scored: DataFrame) -> DataFrame:
+    return scored.withColumn("perplexity", F.when(F.col("n_bytes") > 0, F.exp(-F.col("log_p") / F.col("n_bytes"))))
+
+
+def quantile_step(scored: DataFrame, share: float, *by: str) -> DataFrame:
+    """(by, step): the step of log perplexity that holds the quantile. Rows are counted by step, so no group is collected."""
+    steps = scored.groupBy(*by, F.floor(F.log("perplexity") * STEPS).alias("step")).agg(F.count("*").alias("n"))
+    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    upto = F.sum("n").over(group.orderBy("step").rowsBetween(Window.unboundedPreceding, 0))
+    reached = steps.withColumns({"upto": upto, "all": F.sum("n").over(group)}).where(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.lit(share) * F.col("all"))))
+    return reached.groupBy(*by).agg(F.min("step").alias("step"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, low: float = LOW, high: float = HIGH, most: int = MODEL_ROWS) -> DataFrame:
-    """(doc_id, lang, n_bytes, n_grams, perplexity, keep) for each row of docs (doc_id, lang, text).
+    """(doc_id, lang, n_bytes, perplexity, keep) for each row of docs (doc_id, lang, text).
 
     The model is trained on all rows of docs whose doc_id has quality 1 in labels (doc_id, quality). A row is
-    kept if its perplexity lies between limits set by the low and high quantiles of its language's trusted rows,
-    or of all where lang is null or has none, and if its bytes to each different n-gram stay below the limit
-    of the trusted rows of its size (by powers of two), of its language or of all; of any size if none has its. An empty or null text has a null perplexity
-    and is not kept; without any trusted text the model is uniform and every other row is kept. Repeated
-    rows count as often as they stand; other columns are left out.
+    kept if its perplexity lies between the limits of its language, or those of all where lang is null or has no trusted rows:
+    the low quantile of trusted rows under the whole model and the high one of trusted rows under the model of the other
+    fold, each rounded outwards to a step of a thousandth. An empty or null text has a null perplexity
+    and is not kept; without any trusted text the model is uniform and every other row is kept. A text of any length is
+    scored as a whole. Repeated rows count as often as they stand, and those of one doc_id are in one fold; other columns are left out.
     """
     prepare(spark)
     s = Scratch(spark)
     good = s.save(labels.where("quality = 1 and doc_id is not null").select("doc_id").distinct())
-    kept = [good]
+    held = good
     if good.count() <= TRUSTED_ROWS:
         good = F.broadcast(good)
-    model = build(s, docs.select("doc_id", F.col("text").cast("string").alias("text")).join(good, "doc_id", "left_semi"))
-    scored = s.save(score(spark, s, docs, model, most))
-    s.sweep(scored, *kept)
-    some = F.col("n_bytes") > 0
-    scored = scored.withColumns({"perplexity": F.when(some, F.exp(-F.col("log_p") / F.col("n_bytes"))), "repeats": F.when(some, F.col("n_bytes") / F.col("n_grams")), "size": F.when(some, F.floor(F.log2("n_bytes")))})
-    trusted = scored.join(good, "doc_id", "left_semi").where("perplexity is not null")
-    trusted = s.save(trusted)
-    spread = lambda c, name: F.percentile_approx(c, [low, 0.5, high], 10000).alias(name)
-    stretched = lambda q, k, by: q[1] * F.pow(q[k] / q[1], F.lit(by))
-    known = trusted.where("lang is not null")
-    everyone = trusted.agg(spread("perplexity", "q")).first().q
-    everyone = F.array(*[F.lit(float(x)) for x in everyone]) if everyone else F.lit(None).cast("array<double>")
-    by_lang = known.groupBy("lang").agg(spread("perplexity", "of_lang"))
-    sizes = trusted.groupBy("size").agg(stretched(spread("repeats", "r"), 2, REPEAT_STRETCH).alias("most"))
-    sizes = s.save(sizes, narrow=True)
-    unseen = (sizes.agg(F.max("most")).first()[0] or float("inf")) * UNSEEN
-    of_lang = known.groupBy("lang", "size").agg(stretched(spread("repeats", "r"), 2, REPEAT_STRETCH).alias("most_of_lang"))
-    out = scored.join(by_lang, "lang", "left").join(sizes, "size", "left").join(of_lang, ["lang", "size"], "left")
-    q = F.coalesce("of_lang", everyone)
-    usual = F.col("perplexity").between(stretched(q, 0, STRETCH), stretched(q, 2, STRETCH))
-    most = F.coalesce(F.greatest("most", "most_of_lang"), F.lit(unseen))
-    keep = F.coalesce(usual, F.lit(True)) & F.coalesce(F.col("repeats") <= most, F.lit(False))
-    return out.select("doc_id", "lang", "n_bytes", "n_grams", F.round("perplexity", 6).alias("perplexity"), keep.alias("keep"))
+    rows = docs.select("doc_id", "lang", F.col("text").cast("string").alias("text"))
+    trusted = s.save(rows.join(good, "doc_id", "left_semi").withColumn("fold", F.pmod(F.xxhash64("doc_id"), F.lit(len(FOLDS))).cast("int")))
+    model = build(s, trusted)
+    scored = s.save(_perplexity(score(spark, s, rows, one_model(model, WHOLE), most)))
+    unseen = [score(spark, s, trusted.where(F.col("fold") == k), one_model(model, 1 - k), most) for k in FOLDS]
+    unseen = s.save(_perplexity(unseen[0].union(unseen[1])).where("perplexity is not null"))
+    s.sweep(scored, unseen, held)
+    seen = scored.join(good, "doc_id", "left_semi").where("perplexity is not null")
+    limits, everyone = None, {}
+    for name, source, share in (("least", seen, low), ("most", unseen, high)):
+        step = F.col("step") / STEPS if name == "least" else (F.col("step") + 1) / STEPS
+        one = quantile_step(source.where("lang is not null"), share, "lang").select("lang", F.exp(step).alias(name))
+        limits = one if limits is None else limits.join(one, "lang", "full")
+        everyone[name] = quantile_step(source, share).select(F.exp(step).alias("x")).first()
+    limits = s.save(limits, narrow=True)
+    bound = {name: F.coalesce(name, F.lit(r.x if r else None).cast("double")) for name, r in everyone.items()}
+    usual = F.coalesce(F.col("perplexity").between(bound["least"], bound["most"]), F.lit(True))
+    keep = F.col("perplexity").isNotNull() & usual
+    return scored.join(limits, "lang", "left").select("doc_id", "lang", "n_bytes", F.round("perplexity", 6).alias("perplexity"), keep.alias("keep"))
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
