@@ -33,6 +33,8 @@ COORDS, PATHS = 128, 64
 LEAF = 64
 #: A pair is a candidate from this share of equal sketch coordinates: 4.7 deviations below a Jaccard of 0.85.
 SKETCH = 0.70
+#: Members of clusters, 24 bytes each, up to which they are told to all tasks, so that texts stay where they are.
+TOLD = 1 << 20
 #: Documents of a cluster that one task confirms, and of a block of larger clusters.
 CLUSTER, BLOCK = 256, 128
 #: Central documents that every block of a large cluster is held against.
@@ -120,24 +122,28 @@ class Union:
 _EDGES = {"a": pa.int64(), "b": pa.int64()}
 
 
-def _leaf_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _leaf_edges(sketch: float):
     """Compares a small node exhaustively on sketches; a spanning forest of its candidates is enough."""
-    a, b = [], []
-    for g in groups(batches, "node"):
-        ids = g.column("vertex").to_numpy()
-        s = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint16).reshape(len(ids), COORDS)
-        found = Union(ids.tolist())
-        for i in range(1, len(ids)):
-            for j in np.flatnonzero((s[:i] == s[i]).mean(axis=1) >= SKETCH).tolist():
-                found.join(int(ids[i]), int(ids[j]))
-        for x in found.up:
-            if (r := found.find(x)) != x:
-                a.append(x)
-                b.append(r)
-        if len(a) >= 4096:
-            yield batch(_EDGES, a=a, b=b)
-            a, b = [], []
-    yield batch(_EDGES, a=a, b=b)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = [], []
+        for g in groups(batches, "node"):
+            ids = g.column("vertex").to_numpy()
+            s = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint16).reshape(len(ids), COORDS)
+            found = Union(ids.tolist())
+            for i in range(1, len(ids)):
+                for j in np.flatnonzero((s[:i] == s[i]).mean(axis=1) >= sketch).tolist():
+                    found.join(int(ids[i]), int(ids[j]))
+            for x in found.up:
+                if (r := found.find(x)) != x:
+                    a.append(x)
+                    b.append(r)
+            if len(a) >= 4096:
+                yield batch(_EDGES, a=a, b=b)
+                a, b = [], []
+        yield batch(_EDGES, a=a, b=b)
+
+    return run
 
 
 _SETS = {"cluster": pa.int64(), "size": pa.int64(), "vertex": pa.int64(), "shingles": pa.binary()}
@@ -162,30 +168,31 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 class _Members:
-    def __init__(self, g: pa.RecordBatch):
+    def __init__(self, g: pa.RecordBatch, rule: tuple[int, float]):
+        self.percent, self.least = rule
         self.ids = g.column("vertex").to_numpy()
         self.sets = [np.frombuffer(x, np.uint64) for x in g.column("shingles").to_pylist()]
         off = np.concatenate([[0], np.cumsum([len(s) for s in self.sets])])
         self.sketch = (minwise(np.concatenate(self.sets), off) & U(0xFFFF)).astype(np.uint16)
 
-    def confirm(self, found: Union, label: np.ndarray, i: int, others: np.ndarray, percent: int) -> None:
+    def confirm(self, found: Union, label: np.ndarray, i: int, others: np.ndarray) -> None:
         """Link member i to those of others that no link joins it to yet; the likeliest are tried first."""
         like = (self.sketch[others] == self.sketch[i]).mean(axis=1)
         for k in np.argsort(-like, kind="stable").tolist():
-            if like[k] < SKETCH:
+            if like[k] < self.least:
                 break
             j = int(others[k])
-            if found.find(int(label[i])) != found.find(int(label[j])) and linked(self.sets[i], self.sets[j], percent):
+            if found.find(int(label[i])) != found.find(int(label[j])) and linked(self.sets[i], self.sets[j], self.percent):
                 found.join(int(label[i]), int(label[j]))
 
 
-def _confirm_clusters(percent: int):
+def _confirm_clusters(rule: tuple[int, float]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "cluster"):
-            m = _Members(g)
+            m = _Members(g, rule)
             found = Union(m.ids.tolist())
             for i in range(1, len(m.ids)):
-                m.confirm(found, m.ids, i, np.arange(i), percent)
+                m.confirm(found, m.ids, i, np.arange(i))
             ids = list(found.up)
             yield batch(_EDGES, a=ids, b=[found.find(x) for x in ids])
 
@@ -195,16 +202,16 @@ def _confirm_clusters(percent: int):
 _BLOCKS = _EDGES | {"cluster": pa.int64(), "score": pa.float64(), "shingles": pa.binary()}
 
 
-def _confirm_blocks(percent: int):
+def _confirm_blocks(rule: tuple[int, float]):
     """Links within a block, and the block's most central document with its mean likeness to the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "cluster", "block"):
-            m = _Members(g)
+            m = _Members(g, rule)
             found = Union(m.ids.tolist())
             like = np.zeros(len(m.ids))
             for i in range(1, len(m.ids)):
-                m.confirm(found, m.ids, i, np.arange(i), percent)
+                m.confirm(found, m.ids, i, np.arange(i))
             for i in range(len(m.ids)):
                 like[i] = (m.sketch == m.sketch[i]).mean()
             best = int(np.argmax(like))
@@ -217,7 +224,7 @@ def _confirm_blocks(percent: int):
     return run
 
 
-def _confirm_across(percent: int):
+def _confirm_across(rule: tuple[int, float]):
     """Links between the documents marked `near` and the others of a group; `label` is the component known so far."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,11 +232,11 @@ def _confirm_across(percent: int):
             near = g.column("near").to_numpy(zero_copy_only=False).astype(bool)
             if near.all() or not near.any():
                 continue
-            m = _Members(g)
+            m = _Members(g, rule)
             label = g.column("label").to_numpy()
             found, rest = Union(label.tolist()), np.flatnonzero(~near)
             for i in np.flatnonzero(near).tolist():
-                m.confirm(found, label, i, rest, percent)
+                m.confirm(found, label, i, rest)
             ids = [x for x in found.up if found.find(x) != x]
             if ids:
                 yield batch(_EDGES, a=ids, b=[found.find(x) for x in ids])
@@ -237,16 +244,18 @@ def _confirm_across(percent: int):
     return run
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85) -> DataFrame:
+def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85, sketch: float = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
     Texts whose sets of distinct 5-word shingles reach `percent` of Jaccard similarity are linked; a text of
     fewer words is one shingle, a null text or one without words is linked with nothing and keeps its
     own doc_id as component_id. kept: the row's doc_id is its component's smallest. Rows of equal text
     are linked; rows that repeat a doc_id each get their own text's component. A null doc_id never
-    names a component unless no copy has an id. Further columns of docs are ignored; an empty table gives none.
+    names a component unless no copy has an id. Further columns of docs are ignored; an empty table gives none; a text
+    of any length gives all its shingles. sketch: pairs that share fewer of their sketch's coordinates are not
+    confirmed; with 0, every pair is that a tree brings together, at more cost.
     """
-    return marked_rows(spark, docs, percent=percent).drop("text_hash")
+    return marked_rows(spark, docs, percent=percent, sketch=sketch).drop("text_hash")
 
 
 def text_hash(column: str) -> Column:
@@ -254,7 +263,7 @@ def text_hash(column: str) -> Column:
     return F.xxhash64(F.col(column).cast("string"))
 
 
-def marked_rows(spark: SparkSession, docs: DataFrame, *, percent: int = 85) -> DataFrame:
+def marked_rows(spark: SparkSession, docs: DataFrame, *, percent: int = 85, sketch: float = SKETCH) -> DataFrame:
     """near_duplicates with the text_hash of each row."""
     prepare(spark)
     s = Scratch(spark)
@@ -269,11 +278,11 @@ def marked_rows(spark: SparkSession, docs: DataFrame, *, percent: int = 85) -> D
     reps = s.save(reps.withColumn("vertex", F.when(F.col("shared"), F.xxhash64("doc_id", "text_hash")).otherwise(F.col("doc_id"))))
     own = None if shared.isEmpty() else reps.where("shared").select("vertex", "doc_id", "text_hash")
 
-    edges = s.save(_candidates(s, reps.where("doc_id is not null")), narrow=True)
+    edges = s.save(_candidates(s, reps.where("doc_id is not null"), sketch), narrow=True)
     s.sweep(feats, reps, edges)
     clusters = s.save(components(s, edges), narrow=True)
     s.sweep(feats, reps, clusters)
-    roots = s.save(_links(s, docs, own, clusters, percent), narrow=True)
+    roots = s.save(_links(s, docs, own, clusters, (percent, sketch)), narrow=True)
     if own is not None:
         named = roots.join(reps.select("vertex", "doc_id"), roots.node == F.col("vertex")).groupBy("root").agg(F.min("doc_id").alias("name"))
         roots = s.save(roots.join(named, "root").select("node", F.col("name").alias("root")), narrow=True)
@@ -292,7 +301,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string"), text_hash("text").alias("text_hash"))
 
 
-def _candidates(s: Scratch, reps: DataFrame) -> DataFrame:
+def _candidates(s: Scratch, reps: DataFrame, sketch: float) -> DataFrame:
     """Edges between documents that a tree brings together and whose sketches agree."""
     now = reps.select("path", "vertex").mapInArrow(_nodes, ddl(_NODES))
     leaves, last = [], f"k{DEPTH}"
@@ -309,30 +318,32 @@ def _candidates(s: Scratch, reps: DataFrame) -> DataFrame:
     for more in leaves[1:]:
         small = small.union(more)
     small = small.distinct().join(reps.select("vertex", "sketch"), "vertex").repartition("node").sortWithinPartitions("node")
-    edges = small.mapInArrow(_leaf_edges, ddl(_EDGES)).distinct()
+    edges = small.mapInArrow(_leaf_edges(sketch), ddl(_EDGES)).distinct()
     if now is not None:
         first = s.save(now.groupBy(last).agg(F.min("vertex").alias("b")), narrow=True)
         edges = edges.union(now.join(first, last).select(F.col("vertex").alias("a"), "b").distinct())
     return edges
 
 
-def _links(s: Scratch, docs: DataFrame, own: DataFrame | None, clusters: DataFrame, percent: int) -> DataFrame:
+def _links(s: Scratch, docs: DataFrame, own: DataFrame | None, clusters: DataFrame, rule: tuple[int, float]) -> DataFrame:
     """(node, root): the confirmed component of every set in a cluster."""
     sizes = s.save(clusters.groupBy("root").agg(F.count("*").alias("size")), narrow=True)
     member = s.save(clusters.join(sizes, "root").select(F.col("root").alias("cluster"), "size", F.col("node").alias("vertex")), narrow=True)
+    if member.count() <= TOLD:
+        member = F.broadcast(member)
     texts = _texts(docs)
     rows = texts.select(F.col("doc_id").alias("vertex"), "text").join(member, "vertex").select("vertex", "text", "cluster", "size")
     if own is not None:
         rows = rows.union(texts.join(member.join(own, "vertex"), ["doc_id", "text_hash"]).select(*rows.columns))
     held = s.save(rows.mapInArrow(_sets, ddl(_SETS)).where("length(shingles) > 0"))
     whole = held.where(F.col("size") <= CLUSTER).repartition("cluster").sortWithinPartitions("cluster")
-    done = s.save(whole.mapInArrow(_confirm_clusters(percent), ddl(_EDGES)), narrow=True)
+    done = s.save(whole.mapInArrow(_confirm_clusters(rule), ddl(_EDGES)), narrow=True)
     large = held.where(F.col("size") > CLUSTER).withColumn("block", F.pmod(F.xxhash64("vertex"), F.ceil(F.col("size") / BLOCK)))
     if large.isEmpty():
         return done.select(F.col("a").alias("node"), F.col("b").alias("root")).groupBy("node").agg(F.min("root").alias("root"))
 
     dealt = large.repartition("cluster", "block").sortWithinPartitions("cluster", "block")
-    inner = s.save(dealt.mapInArrow(_confirm_blocks(percent), ddl(_BLOCKS)))
+    inner = s.save(dealt.mapInArrow(_confirm_blocks(rule), ddl(_BLOCKS)))
     order = Window.partitionBy("cluster").orderBy(F.desc("score"), "a")
     leaders = s.save(inner.where("score is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).select("cluster", F.col("a").alias("vertex"), "shingles"))
     blocks = large.select("cluster", "block").distinct()
@@ -342,7 +353,7 @@ def _links(s: Scratch, docs: DataFrame, own: DataFrame | None, clusters: DataFra
     to_all = known.select("cluster", "block", F.lit(0).cast("bigint").alias("other"), F.lit(False).alias("near"), "label", "vertex", "shingles")
     led = leaders.join(label, ["cluster", "vertex"]).join(blocks, "cluster").select("cluster", "block", F.lit(0).cast("bigint").alias("other"), F.lit(True).alias("near"), "label", "vertex", "shingles")
     across = to_all.select(*rows).union(led.select(*rows)).repartition("cluster", "block").sortWithinPartitions("cluster", "block")
-    edges = s.save(inner.select("a", "b").union(across.mapInArrow(_confirm_across(percent), ddl(_EDGES))))
+    edges = s.save(inner.select("a", "b").union(across.mapInArrow(_confirm_across(rule), ddl(_EDGES))))
     parts = s.save(components(s, edges), narrow=True)
 
     # what is outside a cluster's largest component meets every block of the cluster
@@ -354,7 +365,7 @@ def _links(s: Scratch, docs: DataFrame, own: DataFrame | None, clusters: DataFra
     near = left.join(blocks, "cluster", "inner").select("cluster", blocks.block, "other", F.lit(True).alias("near"), "label", "vertex", "shingles")
     far = rest.select("cluster", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_rest") - 1)).alias("other"), F.lit(False).alias("near"), "label", "vertex", "shingles")
     met = near.select(*rows).union(far.select(*rows)).repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other")
-    more = s.save(met.mapInArrow(_confirm_across(percent), ddl(_EDGES)))
+    more = s.save(met.mapInArrow(_confirm_across(rule), ddl(_EDGES)))
     if not more.isEmpty():
         parts = s.save(components(s, edges.union(more)), narrow=True)
     return done.select(F.col("a").alias("node"), F.col("b").alias("root")).groupBy("node").agg(F.min("root").alias("root")).union(parts)
