@@ -33,6 +33,46 @@ _GRANT = (
     'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files '
     '<<beginOptional>>(the "Software")<<endOptional>>, to deal in the Software without restriction'
 )
+# The public wording of whole licenses, with markup where they may differ.
+_MIT_REST = (
+    ", including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
+    "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice "
+    "<<beginOptional>>(including the next paragraph) <<endOptional>>shall be included in all copies or substantial portions of the Software. "
+    'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+    'FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE <<var;name="who";min="1";max="8";match="[^ ]+">> BE LIABLE FOR ANY CLAIM, DAMAGES '
+    "OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+    "DEALINGS IN THE SOFTWARE"
+)
+_ISC = (
+    "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted, provided "
+    "that the above copyright notice and this permission notice appear in all copies. "
+    'THE SOFTWARE IS PROVIDED "AS IS" AND <<var;name="who";min="1";max="8";match="[^ ]+">> DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+    'WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL <<var;name="who2";min="1";max="8";match="[^ ]+">> BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR '
+    "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER "
+    "TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE"
+)
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "<<beginOptional>>1. <<endOptional>>Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "<<beginOptional>>2. <<endOptional>>Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution. "
+    '<<beginOptional>><<beginOptional>>3. <<endOptional>>Neither the name of <<var;name="who";min="1";max="12";match="[^ ]+">> may be used to endorse or promote products derived '
+    "from this software without specific prior written permission. <<endOptional>>"
+    'THIS SOFTWARE IS PROVIDED BY <<var;name="who2";min="1";max="12";match="[^ ]+">> "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED '
+    "WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    '<<var;name="who3";min="1";max="12";match="[^ ]+">> BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED '
+    "TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, "
+    "WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF "
+    "THE POSSIBILITY OF SUCH DAMAGE"
+)
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this "
+    "software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, "
+    "subject to the following restrictions: <<beginOptional>>1. <<endOptional>>The origin of this software must not be misrepresented; you must not claim that you wrote "
+    "the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    "<<beginOptional>>2. <<endOptional>>Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+    "<<beginOptional>>3. <<endOptional>>This notice may not be removed or altered from any source distribution"
+)
 TEMPLATES = {
     "mit-notice": f"{_VERB} under <<beginOptional>>the terms of <<endOptional>>the MIT License",
     "mit-text": _GRANT,
@@ -50,6 +90,10 @@ TEMPLATES = {
     "isc-text": (
         "Permission to use, copy, modify, and<<beginOptional>>/or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted"
     ),
+    "mit-license": f"{_GRANT}{_MIT_REST}",
+    "isc-license": _ISC,
+    "bsd-license": _BSD,
+    "zlib-license": _ZLIB,
 }
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _MARK = re.compile(r"<<(.*?)>>", re.S)
@@ -241,7 +285,8 @@ def license_scan(spark: SparkSession, docs: DataFrame, templates: dict[str, str]
     n_base counts all places of PHRASES, first_word and last_word are the smallest and largest of their first
     words' places, null without any. labels joins the phrases' labels and those of the templates that
     accept. score: 1 where a template accepts, 0.5 where only a phrase stands, else 0. A null or empty text
-    has no words and empty labels; rows are scanned one by one; other columns are left out.
+    has no words and empty labels; a text of any length is scanned as a whole; rows are scanned one by one, so repeated
+    rows give equal ones; other columns are left out; an empty table gives an empty one.
     """
     prepare(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()

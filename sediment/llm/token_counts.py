@@ -203,7 +203,7 @@ def token_counts(spark: SparkSession, docs: DataFrame, path: str | None = None)
     """(doc_id, n_bytes, n_tokens) for each row of docs (doc_id, text).
 
     Counts are those of the library without begin, end or added special tokens; special strings inside a text
-    are handled as by its default. A null text counts as empty: 0 and 0. Rows are counted one by one, so
+    are handled as by its default. A null text counts as empty: 0 and 0; a text of any length is counted as a whole. Rows are counted one by one, so
     repeated rows and ids give equal rows; other columns are left out; an empty table gives none.
     """
     prepare(spark)

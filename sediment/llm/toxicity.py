@@ -196,7 +196,7 @@ def _score(model_parts, names: list[str], keep_clean: bool):
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs (doc_id, text) as (doc_id, expected_severity, grade, is_toxic); a null or empty text is clean.
+    """docs (doc_id, text) as (doc_id, expected_severity, grade, is_toxic); a null or empty text is clean, a text of any length is read as a whole.
 
     grade counts the thresholds passed with probability 1/2 or more; is_toxic: it is 1 or more. Rows are
     scored one by one, so repeated rows and ids give equal rows; other columns are left out.
@@ -207,7 +207,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, all columns, that are not toxic."""
+    """The rows of docs, all columns whatever their names, that are not toxic; null and empty texts stay, repeated rows stay or go alike."""
     parts = (model.vocabulary, model.weights, model.thresholds)
     return docs.mapInArrow(_score(parts, docs.columns, True), docs.schema)
 

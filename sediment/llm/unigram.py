@@ -363,7 +363,8 @@ def encode(spark: SparkSession, docs: DataFrame, path: str | None = None, *, col
 
     round_trip: decoding the ids gives the text back, U+2581 counting as a space. With decoded, the text column
     is what decoding gave. A null or empty text has no pieces. Rows are encoded one by one, so repeated
-    rows give equal results; a column of docs named as a new one gives way to it.
+    rows give equal results; a column of docs named as a new one gives way to it, others pass through whatever their
+    names. A text of any length is encoded as a whole; an empty table gives an empty one.
     """
     prepare(spark)
     shared = spark.sparkContext.broadcast(load_vocabulary(path or model_path()))

@@ -40,3 +40,25 @@ def test_markup():
     for bad in ("<<beginOptional>>a", "a<<endOptional>>", "<<what>>a", "<<beginOptional>>a<<endOptional>>"):
         with pytest.raises(ValueError):
             Automaton(bad)
+
+
+def filled(name, **values):
+    """A template as a text: every optional region in, replaceable ones by the given words."""
+    text = re.sub("<<(begin|end)Optional>>", "", licenses.TEMPLATES[name])
+    return re.sub('<<var;name="(.*?)".*?>>', lambda m: values[m[1]], text)
+
+
+def test_whole_licenses_match_as_a_whole_or_not_at_all(spark):
+    holders = dict(who="the authors or copyright holders", who2="the copyright holders and contributors", who3="the regents")
+    rows, want = [], {}
+    for name in ("mit-license", "isc-license", "bsd-license", "zlib-license"):
+        words = filled(name, **holders).split()
+        assert len(words) > 100
+        for k, text in enumerate([words, words[:-1], words[:20] + ["not"] + words[20:], words[:20] + words[21:]]):
+            rows.append((len(rows), f"Copyright (c) 2024 Someone\n\n{' '.join(text)}.\n\nint main"))
+            want[len(rows) - 1] = name if k == 0 else None
+    got = {r.doc_id: r.labels.split(",") for r in license_scan(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in want.items():
+        assert [x for x in got[i] if x.endswith("-license")] == ([name] if name else [])
+    sql = duck_rows(licenses.OP6_SQL, documents=(["doc_id", "text"], rows))
+    assert [r[3].split(",") for r in sorted(sql, key=lambda r: r[1])] == [got[i] for i in sorted(got)]

@@ -41,3 +41,23 @@ def test_fit_recovers_the_order_of_grades():
     w, theta = tx.fit_ordinal(np.arange(600), np.zeros(600, np.int64), x.astype(float), grade, 1, steps=600)
     tails = 1 / (1 + np.exp(-(x[:, None] * w[0] - theta)))
     assert w[0] > 0 and (np.diff(theta) > 0).all() and np.abs(tails.sum(axis=1) - grade).mean() < 0.4
+
+
+def test_the_fit_is_a_minimum_of_the_formula():
+    """By the likelihood alone: no small step from the fitted weights and thresholds lowers the penalised loss."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 3))
+    grade = np.clip(np.floor(x @ [1.0, -0.5, 0.0] + rng.logistic(0, 0.5, 300) + 1), 0, tx.GRADES - 1).astype(np.int64)
+    row, feature = np.repeat(np.arange(300), 3), np.tile(np.arange(3), 300)
+    w, theta = tx.fit_ordinal(row, feature, x.ravel(), grade, 3, steps=4000, rate=0.02)
+
+    def loss(w, theta):
+        tail = 1 / (1 + np.exp(-((x @ w)[:, None] - theta)))
+        tail = np.concatenate([np.ones((300, 1)), tail, np.zeros((300, 1))], axis=1)
+        return -np.log(tail[np.arange(300), grade] - tail[np.arange(300), grade + 1]).mean() + 0.5e-4 * (w**2).sum()
+
+    best = loss(w, theta)
+    for _ in range(300):
+        step = rng.normal(size=6) * rng.choice([0.003, 0.02, 0.1])
+        if (np.diff(theta + step[3:]) > 0).all():
+            assert loss(w + step[:3], theta + step[3:]) > best - 1e-5
