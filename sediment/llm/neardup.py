@@ -199,11 +199,11 @@ def _confirm_clusters(rule: tuple[int, float]):
     return run
 
 
-_BLOCKS = _EDGES | {"cluster": pa.int64(), "score": pa.float64(), "shingles": pa.binary()}
+_BLOCKS = _EDGES | {"cluster": pa.int64(), "block": pa.int64(), "sketch": pa.binary(), "score": pa.float64(), "shingles": pa.binary()}
 
 
 def _confirm_blocks(rule: tuple[int, float]):
-    """Links within a block, and the block's most central document with its mean likeness to the others."""
+    """Links within a block, each document's sketch, and the block's most central document with its mean likeness to the others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in groups(batches, "cluster", "block"):
@@ -219,7 +219,9 @@ def _confirm_blocks(rule: tuple[int, float]):
             at = ids.index(int(m.ids[best]))
             score, sets = [None] * len(ids), [None] * len(ids)
             score[at], sets[at] = float(like[best]), m.sets[best].tobytes()
-            yield batch(_BLOCKS, a=ids, b=[found.find(x) for x in ids], cluster=[g.column("cluster")[0].as_py()] * len(ids), score=score, shingles=sets)
+            place = {k: [g.column(k)[0].as_py()] * len(ids) for k in ("cluster", "block")}
+            sketch = dict(zip(m.ids.tolist(), m.sketch, strict=True))
+            yield batch(_BLOCKS, a=ids, b=[found.find(x) for x in ids], sketch=[sketch[x].tobytes() for x in ids], score=score, shingles=sets, **place)
 
     return run
 
@@ -244,6 +246,29 @@ def _confirm_across(rule: tuple[int, float]):
     return run
 
 
+_LIKELY = {"cluster": pa.int64(), "block": pa.int64(), "other": pa.int64(), "near": pa.bool_(), "label": pa.int64(), "vertex": pa.int64()}
+
+
+def _likely_across(least: float):
+    """What _confirm_across could link, by sketches alone: rows of a group with a partner on the other side, in another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in groups(batches, "cluster", "block", "other"):
+            near = g.column("near").to_numpy(zero_copy_only=False).astype(bool)
+            label = g.column("label").to_numpy()
+            sketch = np.frombuffer(b"".join(g.column("sketch").to_pylist()), np.uint16).reshape(-1, COORDS)
+            hit, rest = np.zeros(g.num_rows, bool), np.flatnonzero(~near)
+            for i in np.flatnonzero(near).tolist():
+                like = ((sketch[rest] == sketch[i]).mean(axis=1) >= least) & (label[rest] != label[i])
+                hit[i] |= like.any()
+                hit[rest[like]] = True
+            if hit.any():
+                part = g.filter(pa.array(hit))
+                yield batch(_LIKELY, **{k: part.column(k) for k in _LIKELY})
+
+    return run
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, *, percent: int = 85, sketch: float = SKETCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text).
 
@@ -356,15 +381,18 @@ def _links(s: Scratch, docs: DataFrame, own: DataFrame | None, clusters: DataFra
     edges = s.save(inner.select("a", "b").union(across.mapInArrow(_confirm_across(rule), ddl(_EDGES))))
     parts = s.save(components(s, edges), narrow=True)
 
-    # what is outside a cluster's largest component meets every block of the cluster
-    named = s.save(large.join(parts, large.vertex == parts.node).select("cluster", "size", "block", "vertex", F.col("root").alias("label"), "shingles"))
-    counts = named.groupBy("cluster", "label").agg(F.countDistinct("vertex").alias("n"))
+    # what is outside a cluster's largest component meets every block of the cluster, as sketches; sets are fetched for likely pairs
+    placed = inner.select("cluster", "block", F.col("a").alias("vertex"), "sketch")
+    named = s.save(placed.join(parts, placed.vertex == parts.node).select("cluster", "block", "vertex", F.col("root").alias("label"), "sketch"))
+    counts = named.groupBy("cluster", "label").agg(F.count("*").alias("n"))
     giant = s.save(counts.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all")).select("cluster", F.col("top.label").alias("giant"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("n_rest")), narrow=True)
     rest = named.join(giant.where("n_rest > 0"), "cluster")
     left = rest.where("label != giant").withColumn("other", F.pmod(F.xxhash64("vertex", F.lit(1)), F.col("n_rest")))
-    near = left.join(blocks, "cluster", "inner").select("cluster", blocks.block, "other", F.lit(True).alias("near"), "label", "vertex", "shingles")
-    far = rest.select("cluster", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_rest") - 1)).alias("other"), F.lit(False).alias("near"), "label", "vertex", "shingles")
-    met = near.select(*rows).union(far.select(*rows)).repartition("cluster", "block", "other").sortWithinPartitions("cluster", "block", "other")
+    near = left.join(blocks, "cluster", "inner").select("cluster", blocks.block, "other", F.lit(True).alias("near"), "label", "vertex", "sketch")
+    far = rest.select("cluster", "block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_rest") - 1)).alias("other"), F.lit(False).alias("near"), "label", "vertex", "sketch")
+    groups_of = ["cluster", "block", "other"]
+    likely = s.save(near.union(far).repartition(*groups_of).sortWithinPartitions(*groups_of).mapInArrow(_likely_across(rule[1]), ddl(_LIKELY)), narrow=True)
+    met = likely.join(large.select("cluster", "vertex", "shingles"), ["cluster", "vertex"]).select(*rows).repartition(*groups_of).sortWithinPartitions(*groups_of)
     more = s.save(met.mapInArrow(_confirm_across(rule), ddl(_EDGES)))
     if not more.isEmpty():
         parts = s.save(components(s, edges.union(more)), narrow=True)

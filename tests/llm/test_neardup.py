@@ -112,3 +112,32 @@ def test_twin_words_make_no_link(spark):
     texts = [t for n in (1024, 2048) for t in twins(n)]
     got = neardup.near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.component_id for r in got} == {k: k for k in range(4)}
+
+
+def test_what_is_outside_the_largest_component_of_a_large_cluster(spark, monkeypatch):
+    """Many texts share most of their words and few are near copies: one cluster, no large component."""
+    rnd = random.Random(11)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    shared = [word() for _ in range(160)]
+    rows = []
+    for _ in range(150):
+        own = [word() for _ in range(45)]
+        rows.append(" ".join(shared + own))
+        if rnd.random() < 0.6:
+            rows.append(" ".join(shared + own[:-1] + [word()]))
+    rows += [rows[0], rows[1].upper()]
+    rnd.shuffle(rows)
+    rows = list(enumerate(rows, 7))
+    for name, size in (("LEAF", 4), ("CLUSTER", 64), ("BLOCK", 32)):  # so that few texts make a large cluster
+        monkeypatch.setattr(neardup, name, size)
+    asked = []
+    likely = neardup._likely_across
+    monkeypatch.setattr(neardup, "_likely_across", lambda least: asked.append(least) or likely(least))
+    df = spark.createDataFrame([*rows, rows[5]], "doc_id long, text string")  # one row twice
+    want = {i: (n, c) for i, (n, c) in brute(rows).items()}
+    for sketch in (neardup.SKETCH, 0.0):
+        got = {(r.doc_id, r.n_shingles, r.component_id) for r in neardup.near_duplicates(spark, df, sketch=sketch).collect()}
+        assert got == {(i, n, c) for i, (n, c) in want.items()}
+    assert asked == [neardup.SKETCH, 0.0]
+    parts = [c for _, c in want.values()]
+    assert 100 < len(set(parts)) and max(parts.count(c) for c in set(parts)) < len(parts) // 2
