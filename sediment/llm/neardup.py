@@ -401,3 +401,40 @@ def _links(s: Scratch, docs: DataFrame, own: DataFrame | None, clusters: DataFra
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, read(spark, sf_dir, "documents"))
+
+
+#: By another way: two sets of such a similarity share one of the rarest 15 % of their shingles and one more; pairs that do are held against
+#: the rule on whole sets, and links are followed to their end.
+OP4_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) END AS s
+  FROM words),
+rows_of AS MATERIALIZED (SELECT doc_id, len(s) AS n, CASE WHEN len(s) > 0 THEN md5(array_to_string(s, chr(10))) END AS class, s FROM sets),
+classes AS MATERIALIZED (SELECT class, any_value(s) AS s, any_value(n) AS n, min(doc_id) AS name FROM rows_of WHERE n > 0 GROUP BY class),
+tokens AS (SELECT class, n, unnest(s) AS token FROM classes),
+frequency AS (SELECT token, count(*) AS df FROM tokens GROUP BY token),
+ranked AS (
+  SELECT t.class, t.token, n, row_number() OVER (PARTITION BY t.class ORDER BY df, t.token) AS place
+  FROM tokens t JOIN frequency f ON t.token = f.token),
+prefixes AS (SELECT class, token FROM ranked WHERE place <= n - (85 * n + 99) // 100 + 1),
+candidates AS (
+  SELECT DISTINCT a.class AS a, b.class AS b FROM prefixes a JOIN prefixes b ON a.token = b.token AND a.class < b.class),
+common AS (
+  SELECT a, b, x.n AS na, y.n AS nb, len(list_intersect(x.s, y.s)) AS shared
+  FROM candidates JOIN classes x ON a = x.class JOIN classes y ON b = y.class),
+links AS MATERIALIZED (SELECT a, b FROM common WHERE 100 * shared >= 85 * (na + nb - shared)),
+reach(class, other) AS (
+  SELECT class, class FROM classes
+  UNION
+  SELECT r.class, e.b FROM reach r JOIN (SELECT a, b FROM links UNION ALL SELECT b, a FROM links) e ON r.other = e.a),
+components AS (SELECT r.class, min(c.name) AS component FROM reach r JOIN classes c ON r.other = c.class GROUP BY r.class)
+SELECT doc_id, n::BIGINT AS n_shingles, coalesce(component, doc_id) AS component_id,
+       coalesce(doc_id = coalesce(component, doc_id), false) AS kept
+FROM rows_of LEFT JOIN components ON rows_of.class = components.class
+"""

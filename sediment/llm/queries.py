@@ -5,13 +5,13 @@ from __future__ import annotations
 from sediment.llm.decontaminate import op3_decontaminate
 from sediment.llm.licenses import OP6_SQL, op6_license_scan
 from sediment.llm.linedup import OP9_SQL, op9_line_dedup
-from sediment.llm.neardup import op4_near_duplicates
+from sediment.llm.neardup import OP4_SQL, op4_near_duplicates
 from sediment.llm.quality import op2_quality
 from sediment.llm.token_counts import op5_token_counts
 from sediment.llm.topk import OP8_SQL, op8_topk
 from sediment.llm.toxicity import op10_toxicity
 from sediment.llm.unigram import op1_sentencepiece
-from sediment.llm.wrappers import op7_html_text
+from sediment.llm.wrappers import OP7_SQL, op7_html_text
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
@@ -26,7 +26,9 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op4_near_duplicates": OP4_SQL,
     "op6_license_scan": OP6_SQL,
+    "op7_html_text": OP7_SQL,
     "op8_topk": OP8_SQL,
     "op9_line_dedup": OP9_SQL,
 }

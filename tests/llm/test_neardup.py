@@ -4,6 +4,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import functions as F
 from test_kernel import twins
+from tests_sql import duck_rows
 
 from sediment.llm import neardup
 
@@ -64,6 +65,16 @@ def test_components_are_those_of_all_pairs(spark):
     assert max(list(c for _, c, _ in got.values()).count(c) for _, c, _ in got.values()) > neardup.CLUSTER
 
 
+def sql(rows):
+    """(component_id, doc_id, kept, n_shingles) by the query's SQL."""
+    return sorted(duck_rows(neardup.OP4_SQL, documents=(("doc_id", "text"), rows)), key=str)
+
+
+def test_the_sql_finds_the_same_by_another_way():
+    rows = fixture()
+    assert sql(rows) == sorted(((c, i, i == c, n) for i, (n, c) in brute(rows).items()), key=str)
+
+
 def test_repeated_rows_null_ids_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d e f", "x", 1), (1, "a b c d e f", "x", 1), (None, "a b c d e f", "x", 1), (5, "A b c d e f", "x", 1), (None, None, "x", 1)], SCHEMA)
     got = sorted(map(tuple, neardup.near_duplicates(spark, df).collect()), key=str)
@@ -101,6 +112,7 @@ def test_rows_that_share_an_id_but_not_a_text(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark, df).collect()), key=str)
     want = [(1, 76, 1, True), (7, 77, 1, False), (7, 76, 3, False), (8, 76, 3, False), (3, 77, 3, True), (3, 78, 3, True), (9, 46, 9, True), (9, 46, 9, True), (None, 76, 1, False)]
     assert got == sorted(want, key=str)
+    assert sql(rows) == sorted(((c, i, k, n) for i, n, c, k in want), key=str)
     left = corpus_pipeline.drop_near_copies(spark, df, None)
     assert left.columns == df.columns
     assert sorted(((r.doc_id, r.text) for r in left.collect()), key=str) == sorted((r for r, w in zip(rows, want) if w[3] or r[0] is None), key=str)

@@ -17,7 +17,7 @@ def test_every_operator_has_its_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["op6_license_scan", "op8_topk", "op9_line_dedup"])
+@pytest.mark.parametrize("name", ["op4_near_duplicates", "op6_license_scan", "op7_html_text", "op8_topk", "op9_line_dedup"])
 def test_query_matches_sql(spark, sf_dir, name):
     from oracle import connect, same
 

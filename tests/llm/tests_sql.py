@@ -11,4 +11,4 @@ def duck_rows(sql, **tables):
     got = c.execute(sql)
     names = [d[0] for d in got.description]
     order = sorted(range(len(names)), key=names.__getitem__)
-    return sorted(tuple(r[k] for k in order) for r in got.fetchall())
+    return sorted((tuple(r[k] for k in order) for r in got.fetchall()), key=lambda r: [(x is not None, x) for x in r])  # nulls first
