@@ -648,6 +648,7 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: For pages whose main text is in closed article elements, as that of all test tables is: by expressions, without wrappers.
+#: These names of characters count without their semicolon too, as the HTML standard has it.
 #: `by_host` is what extract() promises, that a host's wrapper accepts every page that it was inferred from.
 OP7_SQL = r"""
 WITH bodies AS (
@@ -663,8 +664,14 @@ bare AS (
   FROM bodies),
 plain AS (
   SELECT page_id, url, trim(regexp_replace(
-    replace(replace(replace(replace(replace(replace(replace(text, '&quot;', '"'), '&middot;', '·'), '&copy;', '©'),
-      '&lt;', '<'), '&gt;', '>'), '&nbsp;', ' '), '&amp;', '&'),
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text,
+      '&quot;?', '"', 'g'),
+      '&middot;?', '·', 'g'),
+      '&copy;?', '©', 'g'),
+      '&lt;?', '<', 'g'),
+      '&gt;?', '>', 'g'),
+      '&nbsp;?', ' ', 'g'),
+      '&amp;?', '&', 'g'),
     '\s+', ' ', 'g')) AS text
   FROM bare)
 SELECT page_id, url, text, length(text)::BIGINT AS n_chars, true AS by_host FROM plain
