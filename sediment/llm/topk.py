@@ -31,8 +31,10 @@ SEEDS, SEED_BYTES = 1024, 2 << 20
 DIMS, ROTATED = 16, 512
 #: Rotated coordinates that the partial sums take, and tasks that sum the tasks' matrices.
 HEAD, SUMS = 16, 4
-#: Below this product of lengths an inner product of integers is exact in double precision.
-EXACT = float(1 << 52)
+#: Below these products of lengths an inner product of integers is exact in double and in single precision.
+EXACT, NARROW = float(1 << 52), float(1 << 24) * (1 - 1e-6)
+#: Candidates met at once; pairs for each that partial sums may leave; how often they are passed over when they leave more; scores of a row that are sorted.
+WIDE, SPARSE, FULL, CROWD = 4096, 64, 8, 64
 
 _MATRIX = {"dim": pa.int64(), "matrix": pa.binary()}
 
@@ -133,26 +135,33 @@ def _pack(size: int, bound: str):
 
 
 class _Block:
-    """A packed matrix with its lengths, partial coordinates and residual lengths."""
+    """A matrix of integers with its lengths, and partial coordinates beside the residual lengths.
 
-    def __init__(self, dim: int, ids: bytes, ints: bytes, turns: dict[int, np.ndarray]):
-        self.ids = np.frombuffer(ids, np.int64)
-        kind = {2: np.int16, 4: np.int32, 8: np.int64}[len(ints) // (dim * len(self.ids))]
-        self._of(np.frombuffer(ints, kind).reshape(-1, dim).astype(np.int64), turns.get(dim))
+    In a stripe the rows of each WIDE go by id, so that of equal scores in them the first have the smallest ids.
+    """
 
-    def _of(self, ints: np.ndarray, turn: np.ndarray | None) -> None:
-        self.ints, self.real = ints, ints.astype(np.float64)
+    def __init__(self, ids: np.ndarray, ints: np.ndarray, turn: np.ndarray | None, *, stripe: bool = False):
+        if stripe:
+            order = np.lexsort((ids, np.arange(len(ids)) // WIDE))
+            ids, ints = ids[order], ints[order]
+        self.ids, self.ints, self.real = ids, ints, ints.astype(np.float64)
         self.length = np.sqrt((self.real**2).sum(axis=1))
-        self.head = self.real[:, :HEAD] if turn is None else self.real @ turn
-        rest = self.real[:, HEAD:] if turn is None else self.real - self.head @ turn.T
-        self.tail = np.sqrt((rest**2).sum(axis=1))
+        head = self.real[:, :HEAD] if turn is None else self.real @ turn
+        rest = self.real[:, HEAD:] if turn is None else self.real - head @ turn.T
+        self.part = np.hstack([head, np.sqrt((rest**2).sum(axis=1))[:, None]])
+        self.cast: dict[type, tuple[np.ndarray, np.ndarray]] = {}
 
     @classmethod
-    def of(cls, ids: np.ndarray, ints: np.ndarray, turn: np.ndarray | None) -> _Block:
-        out = cls.__new__(cls)
-        out.ids = ids
-        out._of(ints, turn)
-        return out
+    def packed(cls, dim: int, ids: bytes, ints: bytes, turns: dict[int, np.ndarray], *, stripe: bool = False) -> _Block:
+        numbers = np.frombuffer(ids, np.int64)
+        kind = {2: np.int16, 4: np.int32, 8: np.int64}[len(ints) // (dim * len(numbers))]
+        return cls(numbers, np.frombuffer(ints, kind).reshape(-1, dim).astype(np.int64), turns.get(dim), stripe=stripe)
+
+    def sides(self, kind: type) -> tuple[np.ndarray, np.ndarray]:
+        """Partial coordinates with the residual length, and all coordinates, as numbers of this kind."""
+        if kind not in self.cast:
+            self.cast[kind] = self.part.astype(kind, copy=False), self.real.astype(kind, copy=False)
+        return self.cast[kind]
 
 
 def _slack(most: float) -> float:
@@ -160,23 +169,79 @@ def _slack(most: float) -> float:
     return 1e-9 * most + 1e-6
 
 
-def _meet(q: _Block, c: _Block, floor: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(query, ids, scores): for each query its at most k best of the candidates that may reach its floor."""
-    most = float(q.length.max(initial=0.0) * c.length.max(initial=0.0))
-    slack = _slack(most)
-    live = np.flatnonzero(q.length * c.length.max(initial=0.0) + slack >= floor)
-    if not len(live):
-        return
-    bound = q.head[live] @ c.head.T + np.outer(q.tail[live], c.tail) + slack
-    for row, i in zip(bound, live.tolist(), strict=True):
-        near = np.flatnonzero((row >= floor[i]) & (c.ids != q.ids[i]))
-        if not len(near):
+def _best(rows: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the k best of each row are, ties to the smaller id, and which of these are a row's k-th."""
+    order = np.lexsort((ids, -score, rows))
+    r = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]])) if len(r) else np.zeros(0, np.int64)
+    place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
+    return order[place < k], place[place < k] == k - 1
+
+
+def _few(score: np.ndarray, k: int) -> np.ndarray:
+    """The k best of each row of a matrix as a mask, ties to the first."""
+    n = score.shape[1]
+    if n <= k:
+        return np.ones(score.shape, dtype=bool)
+    last = np.partition(score, n - k, axis=1)[:, n - k, None]
+    tie = score == last
+    return (score > last) | (tie & (np.cumsum(tie, axis=1, dtype=np.int32) <= k))
+
+
+def _all(score: np.ndarray, floor: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Flat places of a matrix of scores that reach their row's floor; of a row with many such, its k best."""
+    hit = score >= floor[:, None]
+    near = np.flatnonzero(hit)
+    crowded = np.flatnonzero(np.bincount(near // len(ids), minlength=len(floor)) > CROWD)
+    if not len(crowded):
+        return near
+    some = score[crowded]
+    some[ids == own[crowded, None]] = np.iinfo(np.int64).min if some.dtype == np.int64 else -np.inf
+    hit[crowded] &= _few(some, k)
+    return np.flatnonzero(hit)
+
+
+def _meet(q: _Block, c: _Block, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(queries, ids, scores): for each query its at most k best of the candidates that may reach its floor.
+
+    c is a stripe; WIDE candidates at a time, whose k-th best raises the floor for the next. Where partial sums leave
+    more than one pair in SPARSE, scoring them all at once is cheaper than picking, and the next FULL times partial sums are not asked.
+    """
+    floor, full = floor.astype(np.float64), 0
+    got = tuple(np.zeros(0, np.int64) for _ in range(3))
+    for lo in range(0, len(c.ids), WIDE):
+        at = slice(lo, lo + WIDE)
+        ids, longest = c.ids[at], float(c.length[at].max())
+        live = np.flatnonzero(q.length * longest + _slack(float(q.length.max(initial=0.0)) * longest) >= floor)
+        if not len(live):
+            continue
+        most = float(q.length[live].max()) * longest
+        kind, slack = (np.float32, 1e-5 * most + 1e-3) if most < NARROW else (np.float64, _slack(most))
+        (q_part, q_all), (c_part, c_all) = q.sides(kind), c.sides(kind)
+        if most >= EXACT:
+            q_all, c_all = q.ints, c.ints
+        near, own = None, q.ids[live]
+        if not full and q.ints.shape[1] > HEAD:
+            near = np.flatnonzero(q_part[live] @ c_part[at].T >= (floor[live, None] - slack).astype(kind))
+            full = FULL if len(near) * SPARSE > len(live) * len(ids) else 0
+        if full or near is None:
+            full = max(0, full - 1)
+            score = q_all[live] @ c_all[at].T
+            near = _all(score, floor[live].astype(kind), own, ids, k)
+            rows, cols = np.divmod(near, len(ids))
+            score = score.ravel()[near]
+        else:
+            rows, cols = np.divmod(near, len(ids))
+            score = np.einsum("ij,ij->i", q_all[live[rows]], c_all[at][cols])
+        keep = np.flatnonzero((score >= floor[live[rows]]) & (ids[cols] != own[rows]))
+        if not len(keep):
             continue
-        score = (c.real[near] @ q.real[i]).astype(np.int64) if most < EXACT else c.ints[near] @ q.ints[i]
-        top = np.lexsort((c.ids[near], -score))[:k]
-        top = top[score[top] >= floor[i]]
-        if len(top):
-            yield i, c.ids[near][top], score[top]
+        new = live[rows[keep]], ids[cols[keep]], score[keep].astype(np.int64)
+        got = tuple(np.concatenate(x) for x in zip(got, new, strict=True))
+        top, last = _best(*got, k)
+        got = tuple(x[top] for x in got)
+        floor[got[0][last]] = np.maximum(floor[got[0][last]], got[2][last])
+    return got
 
 
 _ASKED = {"row": pa.int64(), "vec_id": pa.int64(), "dim": pa.int64(), "v": pa.list_(pa.int64()), "floors": pa.float64(), "need": pa.float64()}
@@ -187,7 +252,7 @@ def _floors(shared, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns, seeds = shared.value
-        longest = {dim: _Block(dim, ids, ints, turns) for dim, (ids, ints) in seeds.items()}
+        longest = {dim: _Block.packed(dim, ids, ints, turns, stripe=True) for dim, (ids, ints) in seeds.items()}
         for b in batches:
             floor, need = np.full(b.num_rows, -np.inf), np.full(b.num_rows, -np.inf)
             ids, length = b.column("vec_id").to_numpy(), b.column("length").to_numpy()
@@ -197,10 +262,10 @@ def _floors(shared, k: int):
                 c = longest[dim]
                 for lo in range(0, len(rows), PACK):
                     at = rows[lo : lo + PACK]
-                    q = _Block.of(ids[at], x[lo : lo + PACK], turns.get(dim))
-                    for i, _, score in _meet(q, c, floor[at], k):
-                        if len(score) == k:
-                            floor[at[i]] = float(score[-1])
+                    q = _Block(ids[at], x[lo : lo + PACK], turns.get(dim))
+                    found, _, score = _meet(q, c, floor[at], k)  # by query, best first
+                    last = np.flatnonzero(np.bincount(found, minlength=len(at)) == k)
+                    floor[at[last]] = score[np.searchsorted(found, last, "right") - 1]
             some = np.isfinite(floor) & (length > 0)
             need[some] = (floor[some] - _slack(1.0)) / length[some] - 1e-6 * np.abs(floor[some] / length[some]) - 1e-6
             yield batch(_ASKED, row=b.column("row"), vec_id=ids, dim=b.column("dim"), v=b.column("v"), floors=floor, need=need)
@@ -218,15 +283,13 @@ def _score(shared, k: int):
         turns, c = shared.value[0], None
         for b in batches:
             for dim, ids, rows, floors, ints in zip(*(b.column(x).to_pylist() for x in ("dim", "ids", "rows", "floors", "ints")), strict=True):
-                block = _Block(dim, ids, ints, turns)
+                block = _Block.packed(dim, ids, ints, turns, stripe=rows is None)
                 if rows is None:
                     c = block
                     continue
-                number = np.frombuffer(rows, np.int64)
-                got = list(_meet(block, c, np.frombuffer(floors, np.float64), k))
-                if got:
-                    at = np.repeat([i for i, _, _ in got], [len(x) for _, x, _ in got])
-                    yield batch(_FOUND, row=number[at], query_id=block.ids[at], vec_id=np.concatenate([x for _, x, _ in got]), score=np.concatenate([x for _, _, x in got]))
+                at, near, score = _meet(block, c, np.frombuffer(floors, np.float64), k)
+                if len(at):
+                    yield batch(_FOUND, row=np.frombuffer(rows, np.int64)[at], query_id=block.ids[at], vec_id=near, score=score)
 
     return run
 

@@ -1,4 +1,6 @@
 import math
+import time
+from types import SimpleNamespace
 
 import numpy as np
 from tests_sql import duck_rows
@@ -50,3 +52,71 @@ def test_one_vector_for_all(spark):
     rows = [(i, [1.0, 2.0]) for i in range(3000)]
     got = sorted(map(tuple, top_k(spark, spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()))
     assert got == brute(rows)
+
+
+def _tile(x, ids, queries, floors, k=5):
+    """What a task makes of one stripe and packs of queries."""
+    import pyarrow as pa
+
+    columns = ["dim", "ids", "rows", "floors", "ints"]
+    packs = [(x.shape[1], ids.tobytes(), None, None, topk._narrow(x))]
+    packs += [(x.shape[1], ids[at].tobytes(), at.tobytes(), floors[at].tobytes(), topk._narrow(x[at])) for at in queries]
+    shared = SimpleNamespace(value=({x.shape[1]: np.linalg.eigh((x.T @ x).astype(float))[1][:, ::-1][:, : topk.HEAD].copy()}, {}))
+    batches = [pa.RecordBatch.from_arrays([pa.array([p[n]], topk._PACKED[c]) for n, c in enumerate(columns)], names=columns) for p in packs]
+    began = time.perf_counter()
+    found = list(topk._score(shared, k)(iter(batches)))
+    took = time.perf_counter() - began
+    rows = zip(*([v for b in found for v in b.column(c).to_pylist()] for c in ("row", "vec_id", "score")), strict=True)
+    return took, sorted(rows)
+
+
+def _want(x, ids, queries, floors, k=5):
+    out = []
+    for q in np.concatenate(queries).tolist():
+        score = np.array([sum(a * b for a, b in zip(x[q].tolist(), c)) for c in x.tolist()], dtype=np.int64)
+        top = [n for n in np.lexsort((ids, -score)) if ids[n] != ids[q]][:k]
+        out += [(q, int(ids[n]), int(score[n])) for n in top if score[n] >= floors[q]]
+    return sorted(out)
+
+
+def test_a_stripe_costs_about_a_matrix_product():
+    """Vectors of one length in all directions: no bound helps."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(16384, 64))
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1)[:, None]).astype(np.int64)
+    ids, queries = rng.permutation(len(x)), [np.arange(lo, lo + 256) for lo in (0, 256)]
+    real, floors = x.astype(np.float64), np.full(len(x), np.inf)
+    for at in queries:
+        floors[at] = np.sort(real[at] @ real[-1024:].T, axis=1)[:, -5]
+    plain, took = [], []
+    for _ in range(3):
+        began = time.perf_counter()
+        scores = [real[at] @ real.T for at in queries]
+        plain.append(time.perf_counter() - began)
+        took.append(_tile(x, ids, queries, floors)[0])
+    _, got = _tile(x, ids, queries, floors)
+    want = []
+    for at, score in zip(queries, scores, strict=True):
+        score[np.arange(len(at)), at] = -np.inf
+        for q, s in zip(at.tolist(), score, strict=True):
+            top = np.lexsort((ids, -s))[:5]
+            want += [(q, int(ids[n]), int(s[n])) for n in top if s[n] >= floors[q]]
+    assert got == sorted(want)
+    assert min(took) < 20 * min(plain), (took, plain)
+
+
+def test_a_stripe_in_every_kind_of_numbers(monkeypatch):
+    """Scores that single precision, double precision and integers hold; many ties; copies of a query's id; no floors."""
+    monkeypatch.setattr(topk, "WIDE", 96, raising=False)
+    rng = np.random.default_rng(4)
+    for most in (2, 300, 1 << 14, 1 << 27):
+        for dim in (3, 24):
+            for spread in (0, 2):  # with spread the partial sums leave few pairs
+                x = np.floor(rng.uniform(-most, most, (400, dim)) * np.exp(-spread * rng.uniform(0, 3, (1, dim)))).astype(np.int64)
+                x[50:250] = x[50]
+                x[300] = 0
+                ids = rng.permutation(len(x)) // 2  # each id twice
+                queries = [np.arange(0, 60), np.arange(240, 310)]
+                floors = np.full(len(x), -np.inf)
+                floors[::3] = np.sort((x @ x.T).astype(float), axis=1)[::3, -12]
+                assert _tile(x, ids, queries, floors)[1] == _want(x, ids, queries, floors)
