@@ -34,7 +34,10 @@ HEAD, SUMS = 16, 4
 #: Below these products of lengths an inner product of integers is exact in double and in single precision.
 EXACT, NARROW = float(1 << 52), float(1 << 24) * (1 - 1e-6)
 #: Candidates met at once; pairs for each that partial sums may leave; how often they are passed over when they leave more; scores of a row that are sorted.
-WIDE, SPARSE, FULL, CROWD = 4096, 64, 8, 64
+WIDE, SPARSE, FULL, CROWD = 2048, 64, 8, 64
+
+#: Integers by their bytes.
+KINDS = {2: np.int16, 4: np.int32, 8: np.int64}
 
 _MATRIX = {"dim": pa.int64(), "matrix": pa.binary()}
 
@@ -71,22 +74,36 @@ def _turns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from _add({dim: np.linalg.eigh(s)[1][:, ::-1][:, :HEAD].copy() for dim, s in _sum(batches).items()})
 
 
+def _matrix(v: pa.Array, dim: int) -> np.ndarray:
+    """Rows of packed integers, all of dim components, in a matrix."""
+    v = v.cast(pa.binary())
+    at = np.frombuffer(v.buffers()[1], np.int32)[v.offset : v.offset + len(v) + 1].astype(np.int64)
+    width = np.diff(at) // dim
+    if len(v) and (width == width[0]).all():
+        return np.frombuffer(v.buffers()[2], KINDS[width[0]], len(v) * dim, at[0]).astype(np.int64).reshape(-1, dim)
+    out = np.empty((len(v), dim), np.int64)
+    for w in np.unique(width):
+        rows = np.flatnonzero(width == w)
+        out[rows] = _matrix(v.take(pa.array(rows)), dim)
+    return out
+
+
 def _by_dim(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(components, rows, integer matrix) of a batch of (dim, v) rows."""
     dims = b.column("dim").to_numpy()
-    values, at = b.column("v").flatten().to_numpy(), np.concatenate([[0], np.cumsum(dims)])
     for dim in np.unique(dims).tolist():
         rows = np.flatnonzero(dims == dim)
-        yield dim, rows, values[(at[rows][:, None] + np.arange(dim)).ravel()].reshape(-1, dim)
+        v = b.column("v")
+        yield dim, rows, _matrix(v if len(rows) == len(dims) else v.take(pa.array(rows)), dim)
 
 
-def _narrow(x: np.ndarray) -> bytes:
+def _narrow(x: np.ndarray) -> np.ndarray:
     """Integers in as few bytes each as they allow."""
     for kind in (np.int16, np.int32):
         info = np.iinfo(kind)
         if not x.size or info.min <= x.min() and x.max() <= info.max:
-            return x.astype(kind).tobytes()
-    return x.astype(np.int64).tobytes()
+            return x.astype(kind)
+    return x.astype(np.int64)
 
 
 #: number: of a pack or stripe, longest (or least needing) first within a task's share.
@@ -105,10 +122,10 @@ def _pack(size: int, bound: str):
 
         def done() -> pa.RecordBatch:
             b = pa.concat_batches(held)
-            x = b.column("v").flatten().to_numpy().reshape(-1, now)
+            x = _matrix(b.column("v"), now)
             text = {c: [b.column(c).to_numpy().tobytes()] for c in ("rows", "floors") if c in b.schema.names}
             number = (b.column("part")[0].as_py() << 32) + made
-            return batch(_PACKED, **{"rows": [None], "floors": [None], **text}, dim=[now], number=[number], n=[b.num_rows], bound=[b.column(bound)[0].as_py()], ids=[b.column("vec_id").to_numpy().tobytes()], ints=[_narrow(x)])
+            return batch(_PACKED, **{"rows": [None], "floors": [None], **text}, dim=[now], number=[number], n=[b.num_rows], bound=[b.column(bound)[0].as_py()], ids=[b.column("vec_id").to_numpy().tobytes()], ints=[_narrow(x).tobytes()])
 
         for b in batches:
             dims = b.column("dim").to_numpy()
@@ -154,7 +171,7 @@ class _Block:
     @classmethod
     def packed(cls, dim: int, ids: bytes, ints: bytes, turns: dict[int, np.ndarray], *, stripe: bool = False) -> _Block:
         numbers = np.frombuffer(ids, np.int64)
-        kind = {2: np.int16, 4: np.int32, 8: np.int64}[len(ints) // (dim * len(numbers))]
+        kind = KINDS[len(ints) // (dim * len(numbers))]
         return cls(numbers, np.frombuffer(ints, kind).reshape(-1, dim).astype(np.int64), turns.get(dim), stripe=stripe)
 
     def sides(self, kind: type) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +261,7 @@ def _meet(q: _Block, c: _Block, floor: np.ndarray, k: int) -> tuple[np.ndarray,
     return got
 
 
-_ASKED = {"row": pa.int64(), "vec_id": pa.int64(), "dim": pa.int64(), "v": pa.list_(pa.int64()), "floors": pa.float64(), "need": pa.float64()}
+_ASKED = {"row": pa.int64(), "vec_id": pa.int64(), "dim": pa.int64(), "v": pa.binary(), "floors": pa.float64(), "need": pa.float64()}
 
 
 def _floors(shared, k: int):
@@ -294,15 +311,43 @@ def _score(shared, k: int):
     return run
 
 
+_ROWS = {"vec_id": pa.int64(), "dim": pa.int64(), "v": pa.binary(), "length": pa.float64()}
+
+
+def _floored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """_ROWS of (vec_id, embedding) rows without nulls and empty lists; rows with a component that is null or not finite go."""
+    for b in batches:
+        if not b.num_rows:
+            continue
+        x, n = b.column("embedding"), b.column("embedding").value_lengths().to_numpy().astype(np.int64)
+        x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # null components are NaN
+        starts = np.cumsum(n) - n
+        bad = ~np.isfinite(x)
+        ids = b.column("vec_id").to_numpy()
+        if bad.any():
+            keep = ~np.logical_or.reduceat(bad, starts)
+            x, ids, n = x[np.repeat(keep, n)], ids[keep], n[keep]
+            starts = np.cumsum(n) - n
+        if not len(ids):
+            continue
+        with np.errstate(over="ignore", invalid="ignore"):
+            y = np.floor(SCALE * x)
+            v = y.astype(np.int64)
+        for far, end in ((y >= 2.0**63, np.iinfo(np.int64).max), (y < -(2.0**63), np.iinfo(np.int64).min)):  # as Spark's floor
+            v[far] = end
+        length = np.sqrt(np.add.reduceat(v.astype(np.float64) ** 2, starts))
+        v = _narrow(v)
+        at = np.append(starts, starts[-1] + n[-1]) * v.itemsize
+        packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(at.tobytes()), pa.py_buffer(v.tobytes())])
+        yield batch(_ROWS, vec_id=ids, dim=n, v=packed.cast(pa.binary()), length=length)
+
+
 def integers(vectors: DataFrame) -> DataFrame:
-    """(vec_id, dim, v, length) of the vectors that take part, v being floor(256 * component)."""
-    x = F.col("embedding")
-    bad = F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
-    taking = vectors.where(x.isNotNull() & (F.size(x) > 0) & ~F.coalesce(bad, F.lit(False)))
-    v = F.transform(x, lambda c: F.floor(F.lit(SCALE) * c.cast("double")))
-    taking = taking.select(F.col("vec_id").cast("bigint").alias("vec_id"), v.alias("v")).where("vec_id is not null")
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double")))
-    return taking.select("vec_id", F.size("v").cast("bigint").alias("dim"), "v", length.alias("length"))
+    """(vec_id, dim, v, length) of the vectors that take part, v being floor(256 * component) in packed integers."""
+    taking = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").where("vec_id is not null and embedding is not null and size(embedding) > 0")
+    if taking.schema["embedding"].dataType.elementType.typeName() != "float":
+        taking = taking.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return taking.mapInArrow(_floored, ddl(_ROWS))
 
 
 def _packs(rows: DataFrame, size: int, tasks: int, order: list, bound: str) -> DataFrame:
@@ -317,9 +362,10 @@ def _prepared(spark: SparkSession, rows: DataFrame, cand: DataFrame):
     grams = rows.where(F.col("dim").isin([d for d in dims if d <= ROTATED])).select("dim", "v").mapInArrow(_gram, ddl(_MATRIX))
     turns = grams.repartition(SUMS).mapInArrow(_sums, ddl(_MATRIX)).repartition("dim").mapInArrow(_turns, ddl(_MATRIX))
     turns = {r.dim: np.frombuffer(r.matrix, np.float64).reshape(r.dim, -1) for r in turns.collect()}  # at most DIMS small matrices
-    first = cand.where(F.col("dim").isin(dims)).groupBy("dim").agg(F.min(F.struct("number")).alias("x")).select("dim", "x.number")
+    first = [r.number for r in cand.where(F.col("dim").isin(dims)).groupBy("dim").agg(F.min("number").alias("number")).collect()]
     seeds = {}
-    for r in cand.join(F.broadcast(first), ["dim", "number"]).select("dim", "n", "ids", "ints").collect():  # at most DIMS stripes of at most BYTES
+    # at most DIMS stripes of at most BYTES; Parquet's least and most numbers tell which files to read
+    for r in cand.where(F.col("number").isin(first)).select("dim", "n", "ids", "ints").collect():
         n = max(1, min(r.n, SEEDS, SEED_BYTES // (8 * r.dim)))
         seeds[r.dim] = (bytes(r.ids[: 8 * n]), bytes(r.ints[: n * (len(r.ints) // r.n)]))
     return spark.sparkContext.broadcast((turns, seeds))
@@ -337,8 +383,9 @@ def top_k(spark: SparkSession, vectors: DataFrame, *, k: int = K, every: int = E
     s = Scratch(spark)
     rows = s.save(integers(vectors))
     n = rows.count()
-    size = max(LEAST, min(STRIPE, n // (4 * spark.sparkContext.defaultParallelism)))
-    cand = s.save(_packs(rows, size, max(1, n // size), [F.desc("length"), "vec_id"], "length"))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    size = max(LEAST, min(STRIPE, n // tasks))
+    cand = s.save(_packs(rows, size, max(1, min(n // size, max(tasks, n // (4 * size)))), [F.desc("length"), "vec_id"], "length"))
     shared = _prepared(spark, rows, cand)
 
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).withColumn("row", F.monotonically_increasing_id())
@@ -355,7 +402,8 @@ def top_k(spark: SparkSession, vectors: DataFrame, *, k: int = K, every: int = E
     columns = ["stripe", "tile", "dim", "ids", "rows", "floors", "ints"]
     left = cand.withColumnRenamed("number", "stripe").join(meets.select("stripe", "tile").distinct(), "stripe").select(*columns)
     right = packs.withColumnRenamed("number", "pack").join(meets.drop("dim"), "pack").select(*columns)
-    tiles = left.union(right).repartition("stripe", "tile").sortWithinPartitions("stripe", "tile", F.asc_nulls_first("rows"))
+    parts = max(tasks, n // size * (1 + many // (PACK * TILE)) // 4)  # told, since a tile's work is not in proportion to its bytes
+    tiles = left.union(right).repartition(parts, "stripe", "tile").sortWithinPartitions("stripe", "tile", F.asc_nulls_first("rows"))
     found = s.save(tiles.mapInArrow(_score(shared, k), ddl(_FOUND)))
     s.sweep(found)
     rank = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")

@@ -59,8 +59,8 @@ def _tile(x, ids, queries, floors, k=5):
     import pyarrow as pa
 
     columns = ["dim", "ids", "rows", "floors", "ints"]
-    packs = [(x.shape[1], ids.tobytes(), None, None, topk._narrow(x))]
-    packs += [(x.shape[1], ids[at].tobytes(), at.tobytes(), floors[at].tobytes(), topk._narrow(x[at])) for at in queries]
+    packs = [(x.shape[1], ids.tobytes(), None, None, x.tobytes())]
+    packs += [(x.shape[1], ids[at].tobytes(), at.tobytes(), floors[at].tobytes(), x[at].tobytes()) for at in queries]
     shared = SimpleNamespace(value=({x.shape[1]: np.linalg.eigh((x.T @ x).astype(float))[1][:, ::-1][:, : topk.HEAD].copy()}, {}))
     batches = [pa.RecordBatch.from_arrays([pa.array([p[n]], topk._PACKED[c]) for n, c in enumerate(columns)], names=columns) for p in packs]
     began = time.perf_counter()
@@ -120,3 +120,20 @@ def test_a_stripe_in_every_kind_of_numbers(monkeypatch):
                 floors = np.full(len(x), -np.inf)
                 floors[::3] = np.sort((x @ x.T).astype(float), axis=1)[::3, -12]
                 assert _tile(x, ids, queries, floors)[1] == _want(x, ids, queries, floors)
+
+
+def test_integers_are_those_of_spark(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, [0.1, -0.1, 0.0039, 3.0]), (2, [None, 1.0]), (3, []), (4, None), (None, [1.0]), (5, [float("nan")]), (6, [1.0, float("-inf")]), (7, [-0.5]), (8, [1e5, -300.0]), (9, [2e12, 1.0, -7e11]), (10, [1e300, -1e300, 0.5])]
+    for kind in ("float", "double", "decimal(12,4)", "int"):
+        some = [r for r in rows if kind in ("float", "double") or r[0] is None or r[0] < 9 and r[0] not in (5, 6)]
+        some = [r for r in some if kind == "double" or r[0] != 10]
+        df = spark.createDataFrame(some, "vec_id int, embedding array<double>").withColumn("embedding", F.col("embedding").cast(f"array<{kind}>"))
+        bad = "exists(embedding, c -> c is null or isnan(cast(c as double)) or abs(cast(c as double)) = double('inf'))"
+        want = df.where(f"vec_id is not null and size(embedding) > 0 and not coalesce({bad}, false)")
+        want = want.selectExpr("vec_id", "transform(embedding, c -> floor(256D * cast(c as double))) v").collect()
+        got = topk.integers(df.repartition(2)).collect()
+        assert sorted((r.vec_id, np.frombuffer(r.v, topk.KINDS[len(r.v) // r.dim]).tolist()) for r in got) == sorted((r.vec_id, r.v) for r in want)
+        assert all(math.isclose(r.length, math.hypot(*np.frombuffer(r.v, topk.KINDS[len(r.v) // r.dim]).tolist())) for r in got)
+    assert topk.integers(df.limit(0)).count() == 0
