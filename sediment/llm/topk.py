@@ -4,7 +4,9 @@ Vectors are scaled to integers and sorted by descending length into stripes. Eve
 the first right singular vectors of the whole set, so that HEAD coordinates carry most of any inner
 product; what the others can add is bounded by Cauchy-Schwarz on their lengths. The longest vectors give
 every query a first k-th best score, its floor. Against it a stripe falls by the product of lengths, and a
-vector by its partial sum and the residual bound. What is left is scored on the integers, so results are exact.
+vector by its partial sum and the residual bound. What is left is scored on the integers, so results are exact:
+products of matrices in single or double precision where these hold every sum of the integers, else integers. A pack
+meets WIDE vectors of a stripe at once, and its floors rise from one WIDE to the next.
 
 Queries are packed by the length that a candidate needs to reach their floors, so a pack meets the stripes
 down to that length and no others. A tile is one stripe and up to TILE packs: the stripe is shipped
@@ -33,7 +35,7 @@ DIMS, ROTATED = 16, 512
 HEAD, SUMS = 16, 4
 #: Below these products of lengths an inner product of integers is exact in double and in single precision.
 EXACT, NARROW = float(1 << 52), float(1 << 24) * (1 - 1e-6)
-#: Candidates met at once; pairs for each that partial sums may leave; how often they are passed over when they leave more; scores of a row that are sorted.
+#: Candidates met at once; pairs for each that partial sums may leave; how many WIDE do without them when they leave more; scores of a row that are sorted.
 WIDE, SPARSE, FULL, CROWD = 2048, 64, 8, 64
 
 #: Integers by their bytes.
@@ -222,7 +224,7 @@ def _meet(q: _Block, c: _Block, floor: np.ndarray, k: int) -> tuple[np.ndarray,
     """(queries, ids, scores): for each query its at most k best of the candidates that may reach its floor.
 
     c is a stripe; WIDE candidates at a time, whose k-th best raises the floor for the next. Where partial sums leave
-    more than one pair in SPARSE, scoring them all at once is cheaper than picking, and the next FULL times partial sums are not asked.
+    more than one pair in SPARSE, scoring them all is cheaper than picking, and FULL WIDE, this one first, do without partial sums.
     """
     floor, full = floor.astype(np.float64), 0
     got = tuple(np.zeros(0, np.int64) for _ in range(3))
